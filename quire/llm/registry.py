@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup
+from quire.llm import exact_dedup, sharding
 
-QUERIES = {"op9_exact_dedup": exact_dedup.query}
+QUERIES = {"op8_sharding": sharding.query, "op9_exact_dedup": exact_dedup.query}
 SQL = {"op9_exact_dedup": exact_dedup.SQL}
