@@ -1,13 +1,13 @@
 """Toxic passages by maximum-scoring segments.
 
-Tokens (runs of letters, lower-cased) get log-odds between the classes under an informative Dirichlet prior, whose
+Tokens (runs of letters, lower-cased), and the first STEMS letters of longer ones, get log-odds between the classes under an informative Dirichlet prior, whose
 shape is flat plus the pooled counts; tokens whose log-odds aren't significant get the pooled rest's. A small drift per token
-keeps unrelated passages apart. A linear-time scan finds all maximal segments of a document; extreme-value theory
+keeps unrelated passages apart. A token scores as itself where it is significant, else as its longest such stem. A linear-time scan finds all maximal segments of a document; extreme-value theory
 (Karlin and Altschul) gives the score that chance reaches in a clean text of that length, and the excess of every
 significant segment is summed. A logistic curve in that sum makes it a probability.
 
 The model is learned from a bounded sample of labelled rows: about SAMPLE a class, chosen by a hash of doc_id among
-those that may be learned from. At most TOKENS tokens, those of largest significance, are kept and broadcast.
+those that may be learned from. at most TOKENS tokens and stems, those of largest significance, are kept and broadcast.
 
 Defined cases: null texts and texts without tokens have no passage and get the curve's lowest value; null doc_ids and
 null labels are never learned from; a doc_id with several labels counts once for each; with one class or none to
@@ -35,6 +35,7 @@ PRIOR = 500.0
 FLAT = 0.5
 Z_LEAST = 3.0
 DRIFT = 0.05
+STEMS = (7, 6, 5, 4)
 E_MOST = 1.0
 BATCH_ROWS = 1000
 WORDS_KEPT = 400_000
@@ -60,6 +61,15 @@ def held_out(docs: DataFrame) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def features(token: str) -> list[str]:
+    """The token and its stems, longest first."""
+    return [token, *(f"{token[:n]}*" for n in STEMS if len(token) > n)]
+
+
+def token_score(token: str, model: Model) -> float:
+    return next((model.scores[f] for f in features(token) if f in model.scores), model.rest)
+
+
 class Words(dict):
     """The scores, as bytes of 32-bit floats, of the tokens of a word between white space."""
 
@@ -68,8 +78,7 @@ class Words(dict):
         self.model = model
 
     def __missing__(self, word: str) -> bytes:
-        s, rest = self.model.scores, self.model.rest
-        out = np.array([s.get(t, rest) for t in LETTERS.findall(word.lower())], np.float32).tobytes()
+        out = np.array([token_score(t, self.model) for t in LETTERS.findall(word.lower())], np.float32).tobytes()
         if len(word) <= LONGEST_KEPT:
             if len(self) >= WORDS_KEPT:
                 self.clear()
@@ -145,7 +154,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             by = (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by[toxic].update(set(LETTERS.findall(text.lower())))
+                by[toxic].update({f for t in set(LETTERS.findall(text.lower())) for f in features(t)})
             tokens = list(by[0].keys() | by[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *[pa.array([c[t] for t in tokens], pa.int64()) for c in by]], names=["token", "n0", "n1"])
 
@@ -167,11 +176,25 @@ def log_odds(counts: DataFrame, prior: float, z_least: float, most: int) -> tupl
     return {r.token: r.s for r in top}, rest
 
 
+def score_counts(rows: DataFrame, model: Model) -> DataFrame:
+    """value, n: how often tokens of rows (text) have each score."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(shared.value)
+        for batch in batches:
+            found = [token_scores(t, words) for t in batch.column(0).to_pylist()]
+            v, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.float32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.float32()), pa.array(n, pa.int64())], names=["value", "n"])
+
+    return rows.select("text").mapInArrow(count, "value float, n long").groupBy("value").agg(F.sum("n").alias("n"))
+
+
 def extreme_value(values: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """decay and scale of the law of maximal segments under scores drawn from clean text. decay solves
     E[exp(decay score)] = 1; scale is bounded by 1 start a token."""
-    p = weights / weights.sum()
-    if not (values > 0).any() or (p * values).sum() >= 0:
+    p = weights / max(1.0, weights.sum())
+    if not len(values) or not (values > 0).any() or (p * values).sum() >= 0:
         return 1.0, 1.0
     low, high = 0.0, 1.0
     while (p * np.exp(np.minimum(high * values, 700))).sum() < 1 and high < 64:
@@ -208,10 +231,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: flo
     if not odds:
         return Model({}, share=share)
     odds, rest = {t: s - drift for t, s in odds.items()}, rest - drift
-    clean = {r.token: r.n0 for r in counts.where("n0 > 0").join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in odds], "token string")), "token").collect()}
-    all_clean = counts.agg(F.sum("n0")).first()[0]
-    values = np.array([*(odds[t] for t in clean), rest])
-    weights = np.array([*clean.values(), max(1, all_clean - sum(clean.values()))], float)
+    drawn = score_counts(rows.where("toxic = 0"), Model(odds, rest)).collect()  # a row a score, TOKENS + 1 at most
+    values, weights = np.array([r.value for r in drawn], float), np.array([r.n for r in drawn], float)
     decay, scale = extreme_value(values, weights)
     model = Model(odds, rest, decay, scale, share=share)
     found = totals(rows, model).select("toxic", "total").collect()  # two numbers for each row of the bounded sample

@@ -9,14 +9,14 @@ from tests.llm.util import odd
 
 
 def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     got = m.predictions(docs, labels).collect()
     assert len(got) == docs.count() and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     held = [r for r in got if r.held_out and r.doc_id in truth]
     hits = sum(r.predicted == truth[r.doc_id] for r in held)
-    assert len(held) > 40 and hits / len(held) > 0.95 and sum(truth[r.doc_id] for r in held) > 3
+    assert len(held) > 40 and hits / len(held) > 0.975 and sum(truth[r.doc_id] for r in held) > 3
 
 
 def brute(s):
