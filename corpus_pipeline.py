@@ -1,18 +1,49 @@
-"""A corpus pipeline: each stage takes all that the stage before it kept."""
+"""A corpus pipeline. Each stage takes all that the stage before it kept; all but the last return the columns of
+documents.
+
+1. language ID: documents in no known language go (`und`: no letters).
+2. exact dedup: of equal texts, the document with the largest doc_id stays.
+3. n-gram Jaccard join: of linked documents (at 0.9 of their three-word n-grams), the one with the smallest doc_id stays.
+4. secret scans: secrets are replaced by their kind in brackets, n_chars is made to fit; every document stays.
+5. best-fit packing: a row for each piece, with its sequence and place.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup
+from quire.llm import exact_dedup, language_id, ngram_join, packing, secrets
 from quire.llm.common import stored, table
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.accepted(docs)
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept_documents(docs)
 
 
-STAGES = [("exact dedup", dedup_stage)]
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.representatives(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redacted(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, packing.default_path())
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("exact dedup", dedup_stage),
+    ("n-gram Jaccard join", join_stage),
+    ("secret scans", secrets_stage),
+    ("best-fit packing", packing_stage),
+]
+#: SQL can't express language ID, the join's components and best fit; tests/llm/test_pipeline.py has the brute force.
 ORACLE_SQL = None
 
 

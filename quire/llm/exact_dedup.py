@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import salt_of, salts_in, stored, table
+from quire.llm.common import release, salt_of, salts_in, stored, table
 
 SALTS = 48
 
@@ -53,6 +53,7 @@ def duplicates(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], C
 def kept_documents(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of docs, with all their columns, that stay; of rows that repeat a doc_id and text, one."""
     keep = duplicates(docs, salts).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_key")).distinct()
+    release(docs.sparkSession)  # the texts' first two shuffles are done with
     keyed = docs.withColumn("_sha", sha256(F.coalesce(F.col("text"), F.lit(""))))
     found = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_key")))
     copy = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_id"))
