@@ -7,7 +7,10 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +74,25 @@ def ranked(df: DataFrame, name: str, group: list[str], order: list[str], buckets
         same = c if same is None else same & c
     joined = numbered.join(offsets.alias("o"), same)
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._own") + F.col("o._before")).cast("long").alias(name))
+
+
+def runs(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
+    """Tables of whole groups of sorted batches: each holds one or more groups, all of their rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(column).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(k, k[-1]))  # the last group may go on
+        if cut or (held and held[-1].column(column)[-1].as_py() != k[0]):
+            head = batch.slice(0, cut)
+            ready = pa.Table.from_batches([*held, head])
+            if held and cut == 0:
+                ready = pa.Table.from_batches(held)
+            if ready.num_rows:
+                yield ready
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)

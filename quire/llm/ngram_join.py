@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import salt_of, salts_in, stored, table
+from quire.llm.common import runs, salt_of, salts_in, stored, table
 from quire.llm.components import components
 
 N = 3
@@ -159,28 +159,6 @@ def forest(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, verify: Cal
     return out
 
 
-def runs(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
-    """Tables of whole groups of sorted batches: each holds one or more groups, all of their rows."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = batch.column(column).to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(k, k[-1]))  # the last group may go on
-        if cut or (held and held[-1].column(column)[-1].as_py() != k[0]):
-            head = batch.slice(0, cut)
-            ready = pa.Table.from_batches([*held, head])
-            if held and cut == 0:
-                ready = pa.Table.from_batches(held)
-            if ready.num_rows:
-                yield ready
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 # Step 1: sets, and how frequent n-grams are
 
 
