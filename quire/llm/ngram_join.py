@@ -8,7 +8,9 @@
    are dealt to many trees: sets that link share one of their rarest tenth of n-grams (prefix filter, exact), and all
    sets with such an n-gram in common form a block with a tree of its own. Rarity is counted over all documents, in a
    table of BUCKETS counters; any order would do for right results. An n-gram that may be in very many sets isn't
-   searched: its sets of similar size are joined as they are, as candidates.
+   searched: its sets of similar size are joined as they are, as candidates. The larger the sets, the weaker is the
+   bound, so large sets are split by hash into shares of SHARE to 2 SHARE n-grams, with points and rarest tenths
+   of their own: if two sets link, at least one share of theirs is as similar as the whole.
 4. Blocks give candidate families: components under the bound, found from a spanning forest for each block, never from
    all pairs. Families are verified with the whole sets, by the R-tree and a union-find that skips pairs already
    connected. Families of over FAMILY sets are split: every part meets the first part, then only sets outside the
@@ -42,6 +44,7 @@ BUCKETS = 1 << 20
 SLICES = 32
 GROUPS = 16
 FINE_GROUPS = 64
+SHARE = 256
 HOT = 1000
 FAMILY = 400
 LEAF = 16
@@ -77,18 +80,40 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None, n: int = N) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of words; A-Z are lower-cased, white space is ASCII."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII only, both
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), "<u8")
-    size = min(n, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
-    for i in range(size):
-        h = (h ^ w[i : i + len(h)]) * (_A, _B, _C)[i % 3] + np.uint64(i + 1)
+def hashed(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of the n-grams of each text, one text after the other, and where each starts.
+    A-Z are lower-cased, white space is ASCII; fewer than n words are one n-gram."""
+    lists = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # of bytes: ASCII only, both
+    words = np.array([len(x) for x in lists], np.int64)
+    get = _WORDS.__getitem__
+    w = np.frombuffer(b"".join([b"".join(map(get, x)) for x in lists]), "<u8")
+    sizes = np.minimum(words, n)
+    counts = np.where(words > 0, words - sizes + 1, 0)
+    ends = np.cumsum(words)
+    h = np.full(len(w), n, np.uint64)
+    for i in range(n):
+        part = w[i:] if i else w
+        h[: len(part)] = (h[: len(part)] ^ part) * (_A, _B, _C)[i % 3] + np.uint64(i + 1)
         h ^= h >> np.uint64(29)
-    return np.unique(mixed(h))
+    for k in np.flatnonzero((words > 0) & (words < n)).tolist():
+        x = np.full(1, sizes[k], np.uint64)
+        for i in range(int(sizes[k])):
+            x = (x ^ w[ends[k] - words[k] + i]) * (_A, _B, _C)[i % 3] + np.uint64(i + 1)
+            x ^= x >> np.uint64(29)
+        h[ends[k] - words[k]] = x[0]
+    at = np.concatenate(([0], np.cumsum(counts)))
+    first = np.repeat(ends - words - at[:-1], counts) + np.arange(at[-1])
+    h = mixed(h[first])
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        h[s:e].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[at[:-1][counts > 0]] = True
+    return h[new], np.concatenate(([0], np.cumsum(new)))[at]
+
+
+def shingles(text: str | None, n: int = N) -> np.ndarray:
+    return hashed([text], n)[0]
 
 
 def set_id(h: np.ndarray) -> int:
@@ -170,14 +195,12 @@ def based(docs: DataFrame, n: int) -> DataFrame:
         counts = np.zeros(BUCKETS, np.int64)
         some = False
         for batch in batches:
-            ids, ns, sets = batch.column(0).to_pylist(), [], []
-            for text in batch.column(1).to_pylist():
-                h = shingles(text, n)
-                ns.append(len(h))
-                sets.append(set_id(h) if len(h) else None)
-                np.add.at(counts, (h >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64), 1)
-                some = True
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sets, pa.int64()), pa.nulls(len(ns), pa.binary())], schema=kinds)
+            h, at = hashed(batch.column(1).to_pylist(), n)
+            ns = np.diff(at)
+            sets = [set_id(h[s:e]) if e > s else None for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            counts += np.bincount((h >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64), minlength=BUCKETS)
+            some = True
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), batch.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.int64()), pa.nulls(len(ns), pa.binary())], schema=kinds)
         if some:
             c = zstandard.ZstdCompressor(level=1)
             data = [c.compress(x.tobytes()) for x in np.split(counts, SLICES)]
@@ -210,16 +233,28 @@ def counters(base: DataFrame) -> np.ndarray:
 # Steps 2 to 4a: keys, blocks, candidates
 
 
-def packed(v: np.ndarray) -> tuple[int, np.ndarray]:
-    """A shift, and coordinates in a byte each, rounded up: (c << shift) >= v."""
-    shift = max(0, int(v.max()).bit_length() - 8)
-    c = -(-v >> shift) if shift else v
-    if c.max() > 255:
-        shift += 1
-        c = -(-v >> shift)
+def packed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of counts a shift, and the counts in a byte each, rounded up: (c << shift) >= v."""
+    shift = np.zeros(len(v), np.int64)
+    c = v.astype(np.int64)
+    while len(c) and (big := c.max(axis=1) > 255).any():
+        shift += big
+        c = -(-v >> shift[:, None])
     return shift, c.astype(np.uint8)
 
 
+def shared_out(sizes: np.ndarray, percent: int, other: bool) -> np.ndarray:
+    """In how many shares sets of these sizes are split: a power of two. Sets that link may be split differently by
+    size alone; so where a smaller or larger set that may link is split otherwise, `other` gives that number too
+    (else 0)."""
+    of = lambda x: 1 << np.maximum(0, np.floor(np.log2(np.maximum(x, 1) / SHARE))).astype(np.int64)
+    own = of(sizes)
+    if not other:
+        return own
+    low, high = of(np.floor(sizes * percent / 100)), of(np.ceil(sizes * 100 / percent))
+    return np.where(low != own, low, np.where(high != own, high, 0))
+
+
 def keyed(docs: DataFrame, counts: np.ndarray, n: int, percent: int, hot: int) -> DataFrame:
     """KEYS: for each set the rarest n-grams of which it must share one with whatever it links with."""
     # 1 to 32 for a counter's bit length; counters above `most` are those of n-grams that may be in very many sets
@@ -230,37 +265,65 @@ def keyed(docs: DataFrame, counts: np.ndarray, n: int, percent: int, hot: int) -
     types = [pa.bool_(), *[pa.int64()] * 5]
     least = -(-percent // max(1, 100 - percent))  # smaller sets link with equal ones only
 
+    def one(h: np.ndarray, size: np.ndarray, ids: np.ndarray, split: np.ndarray) -> pa.RecordBatch:
+        """Keys of sets (all their hashes h, sizes, names) that are split in so many shares each."""
+        shares = np.repeat(split, size)
+        first = np.cumsum(split) - split
+        share = np.repeat(first, size) + ((h >> np.uint64(8)).astype(np.int64) & (shares - 1))
+        count = int(split.sum())
+        r = frequency.value[(h >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)].astype(np.uint64)
+        key = (r << np.uint64(58)) | (mixed(h + shares.astype(np.uint64) * _B) >> np.uint64(6))
+        n = np.bincount(share, minlength=count)
+        shift, c = packed(np.bincount(share * GROUPS + (h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=count * GROUPS).reshape(count, GROUPS))
+        order = np.argsort(key)
+        order = order[np.argsort(share[order], kind="stable")]
+        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        order = order[place < np.repeat(n - -(-percent * n // 100) + 1, n)]
+        key, own = key[order], share[order]
+        v = np.ascontiguousarray(c).view("<i8")
+        columns = [key >> np.uint64(63) == 1, key.view(np.int64), np.repeat(ids, split)[own], (n + (shift << 48))[own], v[own, 0], v[own, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(columns, types, strict=True)], names=names)
+
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = frequency.value
         for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
-                h = shingles(text, n)
-                if len(h) < least:
-                    continue
-                r = rank[(h >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)].astype(np.uint64)
-                key = np.unique((r << np.uint64(58)) | (mixed(h) >> np.uint64(6)))
-                prefix = key[: len(h) - -(-percent * len(h) // 100) + 1]
-                shift, c = packed(vector(h, GROUPS))
-                v = np.frombuffer(c.tobytes(), "<i8")
-                out.append((prefix, set_id(h), len(h) + (shift << 48), v[0], v[1]))
-            if out:
-                sizes = [len(x[0]) for x in out]
-                key = np.concatenate([x[0] for x in out])
-                rest = [np.repeat(np.array([x[i] for x in out], np.int64), sizes) for i in range(1, 5)]
-                yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip([key >> np.uint64(63) == 1, key.view(np.int64), *rest], types, strict=True)], names=names)
+            h, at = hashed(batch.column(1).to_pylist(), n)
+            sizes = np.diff(at)
+            some = sizes >= least
+            if not some.any():
+                continue
+            h, size = h[np.repeat(some, sizes)], sizes[some]
+            ids = np.array([set_id(h[s : s + k]) for s, k in zip((np.cumsum(size) - size).tolist(), size.tolist(), strict=True)], np.int64)
+            yield one(h, size, ids, shared_out(size, percent, False))
+            also = shared_out(size, percent, True)
+            if also.any():
+                yield one(h[np.repeat(also > 0, size)], size[also > 0], ids[also > 0], also[also > 0])
 
     return docs.mapInArrow(make, KEYS)
 
 
 def block_edges(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """u, v from rows (key, set_id, size, v0, v1) sorted by key: spanning forests of the blocks' candidates."""
+    """u, v from rows (key, set_id, size, v0, v1) sorted by key: spanning forests of the blocks' candidates. What
+    a task has connected once it doesn't search again."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
     for t in runs(batches, 0):
-        key, ids, size, v0, v1 = (t.column(i).to_numpy() for i in range(5))
+        key = t.column(0).to_numpy()
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         lengths = np.diff(np.append(starts, len(key)))
+        many = np.repeat(lengths > 1, lengths)
+        if not many.any():
+            continue
+        t, lengths = t.filter(pa.array(many)), lengths[lengths > 1]
+        starts = np.cumsum(lengths) - lengths
+        ids, size, v0, v1 = (t.column(i).to_numpy() for i in range(1, 5))
         n, shift = size & ((1 << 48) - 1), size >> 48
-        points = np.stack([v0, v1], axis=1).view(np.uint8).reshape(len(key), GROUPS).astype(np.int64) << shift[:, None]
+        points = np.stack([v0, v1], axis=1).view(np.uint8).reshape(len(ids), GROUPS).astype(np.int64) << shift[:, None]
         u, v = [], []
         two = starts[lengths == 2]
         if len(two):
@@ -268,20 +331,24 @@ def block_edges(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
             a, b = n[two], n[two + 1]
             low, high = np.minimum(a, b), np.maximum(a, b)
             ok = (ids[two] != ids[two + 1]) & (bound * (100 + percent) >= percent * (a + b)) & (100 * low >= percent * high)
-            u.append(ids[two][ok])
-            v.append(ids[two + 1][ok])
-        seen = set()
+            for x, y in set(zip(ids[two][ok].tolist(), ids[two + 1][ok].tolist(), strict=True)):
+                if (a := find(x)) != (b := find(y)):
+                    root[a] = b
+                    u.append(x)
+                    v.append(y)
         for s, m in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
             own, at = np.unique(ids[s : s + m], return_index=True)
-            if len(own) < 2 or (named := own.tobytes()) in seen:
+            label = [find(x) for x in own.tolist()]
+            if len(set(label)) < 2:
                 continue
-            seen.add(named)
             at += s
-            found = forest(points[at], n[at], np.arange(len(at)), None, percent)
-            u.append(np.array([own[i] for i, _ in found], np.int64))
-            v.append(np.array([own[j] for _, j in found], np.int64))
+            for i, j in forest(points[at], n[at], np.unique(label, return_inverse=True)[1], None, percent):
+                x, y = int(own[i]), int(own[j])
+                root[find(x)] = find(y)
+                u.append(x)
+                v.append(y)
         if u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def candidate_edges(keys: DataFrame, percent: int) -> DataFrame:

@@ -102,9 +102,40 @@ def test_tree_finds_all_that_link(seed):
 
 
 def test_packed_coordinates_are_upper_bounds():
-    for v in (np.array([0, 1, 255, 256]), np.array([255] * 4), np.array([511, 512, 70_000, 3])):
-        shift, c = m.packed(v)
-        assert (c.astype(np.int64) << shift >= v).all() and (c.astype(np.int64) << shift < v + (1 << shift)).all()
+    v = np.array([[0, 1, 255, 256], [255] * 4, [511, 512, 70_000, 3], [0] * 4])
+    shift, c = m.packed(v)
+    back = c.astype(np.int64) << shift[:, None]
+    assert (back >= v).all() and (back < v + (1 << shift)[:, None]).all() and shift[1] == shift[3] == 0
+    assert len(m.packed(np.zeros((0, 4), np.int64))[0]) == 0
+
+
+def test_hashes_of_texts_together_and_alone():
+    texts = [None, "a", "", "a b", "A\tb c", "a b c d e a b c", " \n", "x", "one two three four"]
+    h, at = m.hashed(texts)
+    alone = [m.shingles(t) for t in texts]
+    assert [h[s:e].tolist() for s, e in zip(at, at[1:], strict=False)] == [x.tolist() for x in alone]
+    assert [len(x) for x in alone] == [len(grams(t)) for t in texts] and m.shingles("a b").tolist() != m.shingles("a").tolist()
+    assert set(m.shingles("a b c").tolist()) < set(alone[5].tolist())
+
+
+def test_sets_that_may_link_are_split_alike_once():
+    for a in range(1, 6000, 7):
+        for b in {a, a * 9 // 10 + 1, -(-a * 9 // 10)}:
+            of = lambda x: {int(m.shared_out(np.array([x]), 90, o)[0]) for o in (False, True)} - {0}
+            assert of(a) & of(b)
+
+
+def test_long_near_copies(spark):
+    random.seed(9)
+    data = []
+    for f in range(6):
+        w = [f"{random.randrange(400)}" for _ in range(random.choice([600, 1100, 2300]))]
+        for i in range(8):
+            c = list(w)
+            for _ in range(random.choice([2, 8, 20, 60])):
+                c[random.randrange(len(c))] = "new"
+            data.append((10 * f + i, " ".join(c)))
+    assert got(m.joined(odd(spark, data))) == brute(data)
 
 
 def test_runs():
