@@ -11,7 +11,7 @@ from quire.schema import ALLOWED_TAGS, DROPPED_TAGS
 
 BLOCKS = "p|div|li|h1|h2|h3|h4|h5|h6|blockquote|tr|figcaption|dd|dt"
 #: In this order; the ampersand last, so that what it makes isn't decoded again.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 
 #: (pattern, replacement) steps that leave a text; the patterns suit Java and RE2.
 STEPS = (
@@ -30,7 +30,7 @@ def plain_text(html: Column) -> Column:
         out = F.regexp_replace(out, pattern, by)
     for entity, by in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(by))
-    out = F.regexp_replace(out, r"[ \t ]+", " ")
+    out = F.regexp_replace(out, r"[ \t\u00A0]+", " ")
     return T.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 

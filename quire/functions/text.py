@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Inside of a character class, for Java; SPACE_RE2 is the same for RE2.
-SPACE = r"\t\n\x0B\f\r    -     　﻿"
+#: For the inside of a character class in Java; the names in _RE2 hold the same for RE2.
+SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 SPACE_RE2 = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 #: Code points that a wrong guess of a Chinese encoding tends to produce.
-BAD = r"\x00-\x08\x0B\x0C\x0E-\x1F─-◿㄀-ㄯㆠ-ㆿ-�"
+BAD = r"\x00-\x08\x0B\x0C\x0E-\x1F\u2500-\u25FF\u3100-\u312F\u31A0-\u31BF\uE000-\uF8FF\uFFFD"
 BAD_RE2 = r"\x00-\x08\x0B\x0C\x0E-\x1F\x{2500}-\x{25FF}\x{3100}-\x{312F}\x{31A0}-\x{31BF}\x{E000}-\x{F8FF}\x{FFFD}"
 
 #: A chapter's heading line.
 HEADING = "第[〇零一二三四五六七八九十百千萬万两兩0-9]+[章回節节卷篇部集]|序章|楔子|引子|尾聲|尾声|後記|后记|番外|终章|終章"
 
-KANJI = r"々〇㐀-鿿豈-﫿\x{20000}-\x{2FFFF}"
+KANJI = r"\u3005\u3007\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{2FFFF}"
 
 #: Sentence ends, and the closers that stay with them.
 ENDERS = "。！？；"
