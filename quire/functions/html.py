@@ -104,5 +104,5 @@ def ruby(base: Column, reading: Column) -> Column:
 
 def without_class(html: Column, name: str) -> Column:
     """html with a class name taken out of every class attribute."""
-    out = F.regexp_replace(html, rf'(?i)(\sclass="(?:[^">]*\s)?){name}(?=[\s"])', "$1")
-    return F.regexp_replace(F.regexp_replace(out, r'(?i)(\sclass=")\s+', "$1"), r'(?i)\sclass="\s*"', "")
+    out = F.regexp_replace(html, rf'(?i)(\sclass="(?:[^">]*\s)?){name}(?:\s+|(?="))', "$1")
+    return F.regexp_replace(F.regexp_replace(out, r'(?i)(\sclass="[^">]*?)\s+"', '$1"'), r'(?i)\sclass=""', "")

@@ -83,8 +83,11 @@ def page_paragraphs(rows: DataFrame, key: str = "book_id") -> DataFrame:
     r = r.withColumn("wide", F.coalesce(space >= CHAPTER_GAP * F.col("height"), F.lit(False)))
     run = Window.partitionBy(key).orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
     any_wide = F.max("wide").over(Window.partitionBy(key))
-    chapter = F.when(any_wide, F.sum(F.col("wide").cast("int")).over(run)).otherwise(F.floor((F.col("page") - 1) / PAGES)).cast("int")
-    return r.withColumns({"para": F.sum(F.col("new_para").cast("int")).over(run).cast("int"), "chapter": chapter}).select(*rows.columns, "para", "chapter")
+    bucket = lambda c: F.floor((F.col(c) - 1) / PAGES)
+    chapter = F.when(any_wide, F.sum(F.col("wide").cast("int")).over(run)).otherwise(bucket("page")).cast("int")
+    starts = F.col("new_para") | (~any_wide & (bucket("prev_page") != bucket("page")))
+    r = r.withColumns({"starts": starts, "chapter": chapter})
+    return r.withColumn("para", F.sum(F.col("starts").cast("int")).over(run).cast("int")).select(*rows.columns, "para", "chapter")
 
 
 def buckets(number: Column, size: int = PAGES) -> Column:

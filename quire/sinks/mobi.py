@@ -44,9 +44,8 @@ def html_of(book: dict, number: dict[str, int]) -> str:
         if c["title"] and heading_text(c["html"]) != c["title"].strip():
             html = f"<h{c['level']}>{escape_text(c['title'])}</h{c['level']}>{html}"
         out.append(f'<a id="{c["id"]}"></a>{html}')
-    if book["notes"]:
-        out.append("".join(f'<p id="{n["id"]}">{rewritten(without_readings(n["html"]), change)}</p>' for n in book["notes"]))
-    return f"<html><head><guide></guide></head><body>{'<mbp:pagebreak/>'.join(out)}</body></html>"
+    notes = "".join(f'<div id="{n["id"]}">{rewritten(without_readings(n["html"]), change)}</div>' for n in book["notes"])
+    return f"<html><head><guide></guide></head><body>{'<mbp:pagebreak/>'.join(out)}{notes}</body></html>"
 
 
 def extended(book: dict, has_cover: bool) -> bytes:

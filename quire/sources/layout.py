@@ -48,29 +48,25 @@ def read(pages: list[list[dict]], name: str, labels: dict[int, str] | None = Non
         raise BookError("the pages hold no text (scanned)")
     book = new_book(name, name.encode(), title=stem(name))
     margin = {p: min(r["x0"] for r in rows if r["page"] == p) for p in {r["page"] for r in rows}}
-    paras: list[dict] = []
-    wide = False
-    for last, r in zip([None, *rows], rows, strict=False):
-        height = r["font"] * LINE_HEIGHT
-        gap = last["y"] - r["y"] if last and last["page"] == r["page"] else None
-        breaks = gap is not None and gap >= CHAPTER_GAP * height
-        wide |= breaks
-        if last is None or (gap is not None and gap >= PARAGRAPH_GAP * height) or r["x0"] - margin[r["page"]] > INDENT * r["font"]:
-            paras.append({"page": r["page"], "break": breaks, "lines": []})
-        paras[-1]["lines"].append(r["text"])
+    gaps = [last["y"] - r["y"] if last["page"] == r["page"] else None for last, r in zip(rows, rows[1:], strict=False)]
+    far = [g is not None and g >= CHAPTER_GAP * LINE_HEIGHT * r["font"] for g, r in zip(gaps, rows[1:], strict=True)]
     groups: list[list[dict]] = []
-    for last, p in zip([None, *paras], paras, strict=False):
-        new = p["break"] if wide else last is not None and (p["page"] - 1) // PAGES != (last["page"] - 1) // PAGES
-        if last is None or new:
+    for i, r in enumerate(rows):
+        gap = gaps[i - 1] if i else None
+        bucket = i > 0 and (r["page"] - 1) // PAGES != (rows[i - 1]["page"] - 1) // PAGES
+        new = not i or (far[i - 1] if any(far) else bucket)
+        if new:
             groups.append([])
-        groups[-1].append(p)
+        if new or (gap is not None and gap >= PARAGRAPH_GAP * LINE_HEIGHT * r["font"]) or r["x0"] - margin[r["page"]] > INDENT * r["font"]:
+            groups[-1].append({"page": r["page"], "lines": []})
+        groups[-1][-1]["lines"].append(r["text"])
     for g in groups:
         chapter(book, None, "\n".join(f"<p>{escape_text(joined(p['lines']))}</p>" for p in g), prefix="pdf-ch-")
     starts = [g[0]["page"] for g in groups]
     for page, title in sorted((labels or {}).items()):
-        k = max((i for i, s in enumerate(starts) if s <= page), default=0)
+        k = starts.index(page) if page in starts else max((i for i, s in enumerate(starts) if s < page), default=0)
         book["nav"].append({"id": f"n{len(book['nav']) + 1}", "parent": None, "title": title, "target": book["chapters"][k]["id"], "anchor": None, "level": 1})
     warn(book, "pdf.flat-nav" if labels else "pdf.no-structure")
-    if not wide and len(groups) > 1:
+    if not any(far) and len(groups) > 1:
         warn(book, "pdf.paged-chapters")
     return book
