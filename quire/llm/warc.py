@@ -22,7 +22,7 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -226,22 +226,25 @@ def revisits(pages: DataFrame, least: int = REVISIT_LEAST, salts: int = SALTS) -
     return rows.join(found, ["_digest", "salt"]).where("_page > refers_to").select("_page", "_digest", "refers_to").distinct()
 
 
-def pack(batches: Iterable[pd.DataFrame], prefix: str, archive_bytes: int, archive_rows: int) -> Iterator[pd.DataFrame]:
+def pack(batches: Iterable[pa.RecordBatch], prefix: str, archive_bytes: int, archive_rows: int) -> Iterator[pa.RecordBatch]:
     """Rows of record arguments to archives. Holds one archive's records, and one record beyond archive_bytes."""
+
+    def made(held: list[bytes]) -> pa.RecordBatch:
+        content = archive(held)
+        name = f"{prefix}{hashlib.sha256(content).hexdigest()[:32]}"
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["archive_id", "content"])
+
     held: list[bytes] = []
     size = 0
     for batch in batches:
-        for page, url, html, refers in zip(batch.page_id, batch.url, batch.html, batch.refers_to, strict=True):
-            page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
+        for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held.append(record(page, url, (html or "").encode(), refers))
             size += len(held[-1])
             if size >= archive_bytes or len(held) >= archive_rows:
-                content = archive(held)
-                yield pd.DataFrame({"archive_id": [f"{prefix}{hashlib.sha256(content).hexdigest()[:32]}"], "content": [content]})
+                yield made(held)
                 held, size = [], 0
     if held:
-        content = archive(held)
-        yield pd.DataFrame({"archive_id": [f"{prefix}{hashlib.sha256(content).hexdigest()[:32]}"], "content": [content]})
+        yield made(held)
 
 
 def write(pages: DataFrame, least: int = REVISIT_LEAST, archive_bytes: int = ARCHIVE_BYTES, archive_rows: int = ARCHIVE_ROWS) -> DataFrame:
@@ -250,18 +253,22 @@ def write(pages: DataFrame, least: int = REVISIT_LEAST, archive_bytes: int = ARC
     digest = F.unhex(F.sha2(F.coalesce(F.col("html"), F.lit("")), 256))
     back = revisits(own, least)
     rows = own.join(back, (F.col("page_id") == F.col("_page")) & (digest == F.col("_digest")), "left").select("page_id", "url", "html", "refers_to")
-    return rows.mapInPandas(lambda it: pack(it, "a", archive_bytes, archive_rows), ARCHIVES)
+    return rows.mapInArrow(lambda it: pack(it, "a", archive_bytes, archive_rows), ARCHIVES)
 
 
 def read(archives: DataFrame, payloads: bool = True, rows: int = 64) -> DataFrame:
     """RECORDS of archives (content). An archive that breaks the format fails the job."""
     names = [f.split()[0] for f in RECORDS.split(", ")]
+    types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]] for f in RECORDS.split(", ")]
+
+    def frame(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
-    def records(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.content:
+            for content in batch.column(0):
                 held = []
-                for r in read_content(content):
+                for r in read_content(content.as_py()):
                     held.append(r if payloads else (*r[:-1], None))
                     if len(held) == rows:
                         yield frame(held)
@@ -269,11 +276,7 @@ def read(archives: DataFrame, payloads: bool = True, rows: int = 64) -> DataFram
                 if held:
                     yield frame(held)
 
-    def frame(held: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(held, columns=names)
-        return out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
-
-    return archives.select("content").mapInPandas(records, RECORDS)
+    return archives.select("content").mapInArrow(records, RECORDS)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -285,20 +288,20 @@ def export(archives: DataFrame, uri: str) -> DataFrame:
     """Writes .warc.zst files to a folder that all executors reach; returns their names and sizes. A file
     appears under its final name when it is whole, so a retried task does no harm."""
 
-    def save(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(uri)
         store.create_dir(root)
         for batch in batches:
-            for name, content in zip(batch.archive_id, batch.content, strict=True):
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 part = f"{root}/.{name}.{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as f:
                     f.write(content)
                 store.move(part, f"{root}/{name}.warc.zst")
-                yield pd.DataFrame({"name": [f"{name}.warc.zst"], "bytes": [len(content)]})
+                yield pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.zst"]), pa.array([len(content)], pa.int64())], names=["name", "bytes"])
 
-    return archives.select("archive_id", "content").mapInPandas(save, "name string, bytes long")
+    return archives.select("archive_id", "content").mapInArrow(save, "name string, bytes long")
 
 
 def base_columns(records: DataFrame) -> list[Column]:

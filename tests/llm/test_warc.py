@@ -29,7 +29,7 @@ def brute(data):
 def test_odd_rows(spark):
     big, huge = "b" * 100, "é<p>" * 300_000
     data = [(5, "u", big), (3, None, big), (9, "x\r\ny", big), (4, "u", "b" * 99), (6, "u", "b" * 99), (7, "u", None), (8, "u", ""), (None, "u", big),
-            (3, "again", big), (9, "again", big), (1, "", huge), (2, "", huge), (10, "d", "\r\n\r\nWARC/1.1\r\n" + big)]
+            (3, "again", big), (9, "again", big), (1, "", huge), (2, "", huge), (10, "d", "\r\n\r\nWARC/1.1\r\n" + big), (2**62 + 1, "u", big)]
     pages = spark.createDataFrame([(*r, 7, "x", 1) for r in data], "page_id long, url string, html string, payload_bytes int, refers_to string, salt int")
     archives = stored(m.write(pages), "t")
     got = m.read(archives)
