@@ -23,7 +23,6 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,16 +118,19 @@ def placed(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = spark.sparkContext.broadcast((table_[:, 0] * (1 << 44) + table_[:, 1], table_))
     rank = ranked(sizes, "rank", ["length"], ["doc_id", "piece", "start"], RANK_BUCKETS)
 
-    def look_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at, last = sizes.columns.index("length"), len(sizes.columns)
+
+    def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, run = shared.value
         for b in batches:
-            size, r = b["length"].to_numpy(np.int64), b["rank"].to_numpy(np.int64)
+            size, r = b.column(at).to_numpy(), b.column(last).to_numpy()
             own = run[np.searchsorted(keys, size * (1 << 44) + r, side="right") - 1]
             step, place = np.divmod(r - own[:, 1], own[:, 2])
-            yield b.drop(columns="rank").assign(sequence_id=own[:, 3] + step, offset=own[:, 4] + place * size)
+            added = [pa.array(own[:, 3] + step), pa.array(own[:, 4] + place * size)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:last], *added], names=[*b.schema.names[:last], "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.schema)
-    return rank.mapInPandas(look_up, f"{schema}, sequence_id long, offset long")
+    return rank.mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
 
 
 def stored_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -88,7 +88,7 @@ def test_table(spark, sf):
 
 
 def test_odd_rows(spark):
-    data = [(1, None), (2, ""), (None, "a b"), (None, "a b"), (3, "x y"), (3, "z"), (3, "z"), (4, "word " * 30_000), (5, "w" * 5000)] + [(10 + i, "same text") for i in range(300)]
+    data = [(1, None), (2, ""), (None, "a b"), (None, "a b"), (2**62 + 1, "large id"), (3, "x y"), (3, "z"), (3, "z"), (4, "word " * 30_000), (5, "w" * 5000)] + [(10 + i, "same text") for i in range(300)]
     check(m.packed(odd(spark, data), PATH, 64).collect(), data, 64)
     assert m.packed(odd(spark, []), PATH).count() == 0
 
