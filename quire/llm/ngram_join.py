@@ -28,7 +28,6 @@ from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
