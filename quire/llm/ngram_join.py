@@ -9,7 +9,7 @@
    sets with such an n-gram in common form a block with a tree of its own. Rarity is counted over all documents, in a
    table of BUCKETS counters; any order would do for right results. An n-gram that may be in very many sets isn't
    searched: its sets of similar size are joined as they are, as candidates. The larger the sets, the weaker is the
-   bound, so large sets are split by hash into shares of SHARE to 2 SHARE n-grams, with points and rarest tenths
+   bound, so large sets are split by hash into shares of SHARE to 4 SHARE n-grams, with points and rarest tenths
    of their own: if two sets link, at least one share of theirs is as similar as the whole.
 4. Blocks give candidate families: components under the bound, found from a spanning forest for each block, never from
    all pairs. Families are verified with the whole sets, by the R-tree and a union-find that skips pairs already
@@ -29,6 +29,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,13 +44,15 @@ BUCKETS = 1 << 20
 SLICES = 32
 GROUPS = 16
 FINE_GROUPS = 64
-SHARE = 256
+SHARE = 128
 HOT = 1000
 FAMILY = 400
 LEAF = 16
 SALTS = 48
 BATCH_ROWS = 500
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
+CHUNK_ROWS = 250
+CHUNK_BYTES = 1 << 20
 LONGEST_KEPT = 64
 BASE = "kind int, doc_id long, n long, set_id long, data binary"
 KEYS = "hot boolean, key long, set_id long, size long, v0 long, v1 long"
@@ -115,6 +118,26 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     return hashed([text], n)[0]
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of CHUNK_ROWS rows, and, beyond one row, CHUNK_BYTES of text at most. The words kept are
+    forgotten at the end, so that later tasks of the worker have the memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK_ROWS):
+            part = batch.slice(at, CHUNK_ROWS)
+            if part.column(text).nbytes <= CHUNK_BYTES:
+                yield part
+            else:
+                size = pc.fill_null(pc.binary_length(part.column(text)), 0).to_pylist()
+                first, held = 0, 0
+                for i, n in enumerate(size):
+                    if held and held + n > CHUNK_BYTES:
+                        yield part.slice(first, i - first)
+                        first, held = i, 0
+                    held += n
+                yield part.slice(first)
+    _WORDS.clear()
+
+
 def set_id(h: np.ndarray) -> int:
     return int.from_bytes(blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -193,7 +216,7 @@ def based(docs: DataFrame, n: int) -> DataFrame:
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         some = False
-        for batch in batches:
+        for batch in slices(batches, 1):
             h, at = hashed(batch.column(1).to_pylist(), n)
             ns = np.diff(at)
             sets = [set_id(h[s:e]) if e > s else None for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -243,10 +266,10 @@ def packed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_out(sizes: np.ndarray, percent: int, other: bool) -> np.ndarray:
-    """In how many shares sets of these sizes are split: a power of two. Sets that link may be split differently by
+    """In how many shares sets of these sizes are split: a power of four. Sets that link may be split differently by
     size alone; so where a smaller or larger set that may link is split otherwise, `other` gives that number too
     (else 0)."""
-    of = lambda x: 1 << np.maximum(0, np.floor(np.log2(np.maximum(x, 1) / SHARE))).astype(np.int64)
+    of = lambda x: 1 << 2 * np.maximum(0, np.floor(np.log2(np.maximum(x, 1) / SHARE) / 2)).astype(np.int64)
     own = of(sizes)
     if not other:
         return own
@@ -284,7 +307,7 @@ def keyed(docs: DataFrame, counts: np.ndarray, n: int, percent: int, hot: int) -
         return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(columns, types, strict=True)], names=names)
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             h, at = hashed(batch.column(1).to_pylist(), n)
             sizes = np.diff(at)
             some = sizes >= least
@@ -369,7 +392,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """set_id, n, data of wanted (set_id, doc_id): the hashes of each set, from the text of one of its documents."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             out = []
             for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingles(text, n)

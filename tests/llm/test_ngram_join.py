@@ -138,6 +138,16 @@ def test_long_near_copies(spark):
     assert got(m.joined(odd(spark, data))) == brute(data)
 
 
+@pytest.mark.parametrize("rows,size", [(250, 1 << 20), (3, 50), (100, 1)])
+def test_slices(monkeypatch, rows, size):
+    monkeypatch.setattr(m, "CHUNK_ROWS", rows)
+    monkeypatch.setattr(m, "CHUNK_BYTES", size)
+    texts = ["a" * (i * 7 % 40) if i % 5 else None for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["i", "t"])
+    out = list(m.slices([batch, batch], 1))
+    assert [t for b in out for t in b.column(1).to_pylist()] == texts * 2 and all(0 < b.num_rows <= rows for b in out)
+
+
 def test_runs():
     keys = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5]
     for step in range(1, 12):
