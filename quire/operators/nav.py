@@ -21,6 +21,7 @@ def tree_from_levels(rows: DataFrame, key: str, order: str = "ord", level: str =
 
 def preorder(nav: DataFrame) -> DataFrame:
     """nav (book_id, node_id, parent_id, sib_ord) with path (numbers of siblings from the root), depth and pre_ord."""
+    nav.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # as many rows as nodes, not a million
     nav.createOrReplaceTempView("_quire_nav")
     paths = nav.sparkSession.sql(
         "WITH RECURSIVE t (book_id, node_id, path) AS ("

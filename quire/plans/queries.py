@@ -369,3 +369,92 @@ def books_written_and_read(spark, sf):
     from quire.plans.conversion import conversations_round_trip
 
     return conversations_round_trip(t(spark, sf, "conversations"))
+
+
+# Books made of the test tables: a host is a book, its pages are chapters, their links the navigation
+
+PAGES = "SELECT page_id, url, html, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages"
+
+
+def page_books(spark, sf):
+    p = t(spark, sf, "pages").withColumn("book_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1))
+    none = F.lit(None).cast("string")
+    books = p.select("book_id").distinct().select("book_id", F.col("book_id").alias("title"), F.lit("en").alias("language"), F.col("book_id").alias("identifier"), F.lit("horizontal-tb").alias("writing_mode"), none.alias("cover_rid"))
+    chapters = p.select("book_id", F.col("page_id").alias("ord"), F.col("url").alias("chapter_id"), (F.col("page_id") % 5).cast("int").alias("level"), "html")
+    nav_rows = p.select("book_id", F.explode(H.links(F.col("html"))).alias("target"))
+    return books, chapters, nav_rows
+
+
+@query(f"""WITH p AS ({PAGES}), tag AS (SELECT host, unnest({sql_tags('html')}) AS tag FROM p),
+link AS (SELECT host, unnest({LINKS}) AS href FROM p),
+again AS (SELECT host, row_number() OVER (PARTITION BY host, url ORDER BY page_id) AS r FROM p),
+e AS (SELECT host, 'tag' AS "check" FROM tag WHERE tag NOT IN ({', '.join(map(quoted, ALLOWED_TAGS))})
+UNION ALL SELECT host, 'navigation target' FROM link l WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.host = l.host AND p.url = l.href)
+UNION ALL SELECT host, 'chapter id twice' FROM again WHERE r > 1
+UNION ALL SELECT host, 'level' FROM p WHERE page_id % 5 NOT IN (1, 2, 3))
+SELECT host AS book_id, "check", count(*) AS n FROM e GROUP BY 1, 2""")
+def validation_errors(spark, sf):
+    from quire.operators.validate import errors
+
+    books, chapters, nav_rows = page_books(spark, sf)
+    notes = spark.createDataFrame([], "book_id string, note_id string")
+    resources = spark.createDataFrame([], "book_id string, rid string, href string, mime string, data binary")
+    return errors(books, chapters, nav_rows, notes, resources).groupBy("book_id", "check").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id AS book_id, 'n' || k AS note_id, coalesce(min(turn) FILTER (turn % 3 = k), max(turn)) AS turn
+FROM conversations, (VALUES (0), (1), (2), (7)) v(k) GROUP BY 1, 2""")
+def note_places(spark, sf):
+    c = t(spark, sf, "conversations")
+    html = F.concat(F.lit('<p>x<a class="noteref" href="#n'), (F.col("turn") % 3).cast("string"), F.lit('">1</a></p>'))
+    chapters = c.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("ord"), F.col("turn").alias("chapter_id"), html.alias("html"))
+    notes = c.select(F.col("conv_id").alias("book_id")).distinct().select("book_id", F.explode(F.array(*[F.lit(f"n{k}") for k in (0, 1, 2, 7)])).alias("note_id"))
+    return references.note_places(chapters, notes).select("book_id", "note_id", F.col("chapter_id").alias("turn"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS book_id, ord::VARCHAR AS node_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord)::INT AS pre_ord FROM {LEVELS}")
+def nav_preorder(spark, sf):
+    rows = segment.lines(t(spark, sf, "documents")).select("doc_id", F.col("pos").alias("ord"), (F.length("line") % 3 + 1).alias("level"))
+    tree = nav.tree_from_levels(rows, "doc_id")
+    own = tree.select(F.col("doc_id").cast("string").alias("book_id"), F.col("ord").cast("string").alias("node_id"), F.col("parent").cast("string").alias("parent_id"), F.col("ord").alias("sib_ord"))
+    return nav.preorder(own).select("book_id", "node_id", "pre_ord")
+
+
+@query("SELECT conv_id AS book_id, max(CASE WHEN turn % 3 = 0 THEN 1 ELSE 2 END)::INT AS depth FROM conversations GROUP BY 1")
+def nav_depth(spark, sf):
+    c = t(spark, sf, "conversations").select(F.col("conv_id").alias("book_id"), F.when(F.col("turn") % 3 == 0, 1).otherwise(2).alias("depth"))
+    return nav.depth(c)
+
+
+@query("""SELECT doc_id AS book_id, unnest(list_filter(['txt.media-dropped', 'txt.notes-dropped'], lambda x: CASE WHEN x = 'txt.media-dropped' THEN doc_id % 2 = 0 ELSE doc_id % 3 = 0 END)) AS code FROM documents""")
+def losses(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), (F.col("doc_id") % 2 == 0).alias("has_images"), (F.col("doc_id") % 3 == 0).alias("has_notes"), F.lit(False).alias("has_ruby"))
+    return notices.losses(d, "txt")
+
+
+def literal(name: str, rows: list[tuple[str, str]], f) -> None:
+    """A query over rows of the model's own kinds, with what must come out."""
+    SQL[name] = f"SELECT * FROM (VALUES {', '.join(f'({quoted(a)}, {quoted(b)})' for a, b in rows)}) v(given, made)"
+    QUERIES[name] = lambda spark, sf: spark.createDataFrame([(a,) for a, _ in rows], "given string").select("given", f(F.col("given")).alias("made"))
+
+
+literal("slugs", [("Two Words", "two-words"), ("第一章 起点", "第一章-起点"), ("a  b!", "a-b")], T.slug)
+literal("file_bases", [("a/b: c", "ab-c"), ("???", "chapter-0007"), ("第一章", "第一章")], lambda c: T.file_base(c, F.lit(7)))
+literal("resolved_paths", [("../img/x.png", "OPS/img/x.png"), ("./a.html", "OPS/text/a.html"), ("a/../b", "OPS/text/b")], lambda c: T.resolve_path(F.lit("OPS/text/c.html"), c))
+literal("mime_types", [("a.JPG", "image/jpeg"), ("b/c.svg", "image/svg+xml"), ("x", "application/octet-stream")], T.mime_by_extension)
+literal("image_signatures", [("FFD8FFE0", "image/jpeg"), ("89504E470D", "image/png"), ("47494638", "image/gif"), ("424D00", "image/bmp")], lambda c: T.mime_by_content(F.unhex(c)))
+literal("output_names", [("d/书.txt", "书（简）.epub"), ("a.b.md", "a.b（简）.epub")], lambda c: T.output_name(c, F.lit("简"), F.lit("epub")))
+literal("without_readings", [("<ruby>漢<rp>(</rp><rt>かん</rt><rp>)</rp></ruby>字", "漢字"), ("<p>x</p>", "<p>x</p>")], H.without_readings)
+literal("without_noteref", [('<a class="noteref x" href="#n">1</a>', '<a class="x" href="#n">1</a>'), ('<a class="noteref">1</a>', "<a>1</a>")], lambda c: H.without_class(c, "noteref"))
+literal("utf16_lengths", [("𠮟a", "3"), ("abc", "3"), ("", "0")], lambda c: T.utf16_length(c).cast("string"))
+literal("sentences_cjk", [("他说。」好 3.14 a. b!", "他说。」|好 3.14 a. |b!"), ("a？b", "a？|b")], lambda c: F.array_join(T.sentences(c), "|"))
+literal("size_labels", [("10", "1 KB"), ("2048", "2 KB"), ("1572864", "1.5 MB")], lambda c: T.size_label(c.cast("long")))
+
+
+def _scheme(c):
+    from quire.operators.variants import scheme_for
+
+    return scheme_for(F.split_part(c, F.lit("/"), F.lit(1)), F.split_part(c, F.lit("/"), F.lit(2)))
+
+
+literal("scheme_choices", [("to_simplified/tw", "twp2cn"), ("to_simplified/hk", "hk2cn"), ("to_traditional/none", "cn2t"), ("to_traditional/tw", "cn2twp"), ("none/none", "none")], _scheme)
