@@ -48,6 +48,7 @@ SHARE = 128
 HOT = 1000
 FAMILY = 400
 LEAF = 16
+FILTER = 1 << 18
 SALTS = 48
 BATCH_ROWS = 500
 WORDS_KEPT = 200_000
@@ -388,21 +389,28 @@ def candidate_edges(keys: DataFrame, percent: int) -> DataFrame:
 # Step 4b: verification
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """set_id, n, data of wanted (set_id, doc_id): the hashes of each set, from the text of one of its documents."""
+def whole_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """members (set_id, doc_id and others) without doc_id, with n and data: the hashes of each set, from the text of one of
+    its documents. Texts that can't be wanted stay where they are: the wanted ones' hash buckets, FILTER at most, are
+    broadcast. Where a doc_id and its text repeat, so does the set."""
+    kept = [c for c in members.columns if c not in ("set_id", "doc_id")]
+    kinds = pa.schema([("set_id", pa.int64()), *[(c, pa.int64()) for c in kept], ("n", pa.int64()), ("data", pa.binary())])
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             out = []
-            for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, want, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = shingles(text, n)
                 if len(h) and set_id(h) == want:
-                    out.append((want, len(h), h.tobytes()))
-            columns = zip(*out, strict=True) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["set_id", "n", "data"])
+                    out.append((want, *rest, len(h), h.tobytes()))
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
-    rows = docs.join(wanted.select(F.col("doc_id").alias("_doc"), "set_id"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "set_id")
-    return rows.mapInArrow(make, "set_id long, n long, data binary").dropDuplicates(["set_id"])
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).cast("int")
+    near = members.select(bucket.alias("bucket")).distinct()
+    some = docs.withColumn("bucket", bucket).join(F.broadcast(near), "bucket", "left_semi")
+    rows = some.join(members.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "set_id", *kept)
+    return rows.mapInArrow(make, ", ".join(["set_id long", *[f"{c} long" for c in kept], "n long", "data binary"]))
 
 
 def verify_edges(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -423,39 +431,44 @@ def verify_edges(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
-def verified(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v of tasks (task, set_id, label)."""
-    rows = tasks.join(sets, "set_id").select("task", "set_id", "label", "n", "data").repartition("task").sortWithinPartitions("task")
-    return rows.mapInArrow(lambda it: verify_edges(it, percent), "u long, v long")
+def verified(rows: DataFrame, percent: int) -> DataFrame:
+    """u, v of rows (task, set_id, label, n, data)."""
+    dealt = rows.select("task", "set_id", "label", "n", "data").repartition("task").sortWithinPartitions("task")
+    return dealt.mapInArrow(lambda it: verify_edges(it, percent), "u long, v long")
 
 
-def family_links(members: DataFrame, sets: DataFrame, percent: int, family: int) -> DataFrame:
-    """u, v: verified links that connect all sets of members (comp, set_id) that are connected."""
+def parted(members: DataFrame, family: int) -> DataFrame:
+    """members (set_id, doc_id, comp) of families of two or more sets, with the number of parts that the family is
+    split into, and the set's part."""
     sizes = members.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1")
-    rows = members.join(sizes, "comp").withColumn("parts", F.ceil(F.col("m") / family).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("set_id", F.lit("part")), F.col("parts")).cast("int"))
-    rows = stored(rows, "join-members")
-    alone = F.when(F.col("parts") == 1, F.array(F.lit(0)))
-    dealt = alone.when(F.col("part") == 0, F.sequence(F.lit(1), F.col("parts") - 1)).otherwise(F.array("part"))
-    first = rows.select(F.explode(dealt).alias("at"), "comp", "set_id").select(F.xxhash64("comp", "at").alias("task"), "set_id", F.col("set_id").alias("label"))
-    found = stored(verified(first, sets, percent), "join-links")
-    large = rows.where("parts > 1")
+    rows = members.join(sizes, "comp").withColumn("parts", F.ceil(F.col("m") / family).cast("long")).drop("m")
+    return rows.withColumn("part", F.pmod(F.xxhash64("set_id", F.lit("part")), F.col("parts")))
+
+
+def family_links(sets: DataFrame, percent: int, family: int) -> DataFrame:
+    """u, v: verified links that connect all of sets (set_id, comp, parts, part, n, data) that are connected."""
+    alone = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long")))
+    dealt = alone.when(F.col("part") == 0, F.sequence(F.lit(1).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))
+    first = sets.withColumn("at", F.explode(dealt)).withColumns({"task": F.xxhash64("comp", "at"), "label": F.col("set_id")})
+    found = stored(verified(first, percent), "join-links")
+    large = sets.where("parts > 1")
     if large.isEmpty():
         return found
     # Parts other than the first have met only it: sets outside a family's main component now meet all parts.
     roots = components(found, "join-large").select(F.col("node").alias("set_id"), "root")
-    rows = large.join(roots, "set_id", "left").withColumn("label", F.coalesce("root", "set_id"))
+    rows = large.select("comp", "set_id", "parts", "part").distinct().join(roots, "set_id", "left").withColumn("label", F.coalesce("root", "set_id"))
     by = rows.groupBy("comp", "label").agg(F.count("*").alias("k"))
     main = by.groupBy("comp").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
-    rows = rows.join(main.where("all > most"), "comp").withColumn("blocks", F.ceil((F.col("all") - F.col("most")) / family).cast("int"))
+    rows = rows.join(main.where("all > most"), "comp").withColumn("blocks", F.ceil((F.col("all") - F.col("most")) / family).cast("long"))
     rows = stored(rows.select("comp", "set_id", "label", "main", "parts", "part", "blocks"), "join-minor")
     if rows.isEmpty():
         return found
-    block = F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks")).cast("int")
-    minor = rows.where("label != main").withColumn("block", block).select("comp", "set_id", "label", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    every = rows.select("comp", "set_id", "label", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    second = minor.unionByName(every).select(F.xxhash64("comp", "part", "block", F.lit("second")).alias("task"), "set_id", "label").distinct()
-    return found.unionByName(verified(second, sets, percent))
+    zero = F.lit(0).cast("long")
+    block = F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks"))
+    minor = rows.where("label != main").withColumn("block", block).select("comp", "set_id", "label", "block", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"))
+    every = rows.select("comp", "set_id", "label", "part", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"))
+    second = minor.unionByName(every, allowMissingColumns=True).select(F.xxhash64("comp", "part", "block", F.lit("second")).alias("task"), "set_id", "label").distinct()
+    return found.unionByName(verified(second.join(large.select("set_id", "n", "data"), "set_id"), percent))
 
 
 # All together
@@ -476,10 +489,8 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = HOT,
     families = components(near, "join-families")
     members = sets.join(families, F.col("set_id") == F.col("node")).select("set_id", "doc_id", F.col("root").alias("comp"))
     members = stored(members, "join-family")
-    sized = members.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1").select("comp")
-    wanted = members.join(sized, "comp", "left_semi").select("set_id", "doc_id")
-    full = stored(whole_sets(own, wanted, n), "join-whole")
-    found = stored(family_links(members.select("comp", "set_id"), full, percent, family), "join-found")
+    full = stored(whole_sets(own, stored(parted(members, family), "join-parts"), n), "join-whole")
+    found = stored(family_links(full, percent, family), "join-found")
     roots = components(found, "join-roots")
     linked = sets.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
