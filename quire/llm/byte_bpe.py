@@ -1,5 +1,6 @@
 """Byte-level BPE ids of whole texts, as the `tokenizers` library gives them for the same vocabulary file with
-encode_special_tokens set and add_special_tokens off (strings of special tokens are ordinary text).
+add_special_tokens off: with `added`, strings of the file's added tokens are cut out and become their ids, as by default
+there; without, they are ordinary text, as with encode_special_tokens set.
 
 A text without doubled white space falls into words at its single spaces, where the pre-tokenizer always cuts;
 the ids of a word are kept for the next time. Other texts are encoded as a whole. Which way a text goes doesn't
@@ -36,6 +37,12 @@ def vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(b[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
 
 
+def added_tokens(path: str) -> dict[str, bytes]:
+    """Ids, as bytes, of the file's added tokens."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"].to_bytes(4, "little") for t in json.load(f).get("added_tokens", [])}
+
+
 class Words(dict):
     """Ids, as bytes of little-endian 32-bit numbers, by the word with the space before it. Forgets all words when full."""
 
@@ -53,16 +60,23 @@ class Words(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         ranks = vocabulary(path)
         self.bpe = tiktoken.Encoding("quire", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.words = Words(self.whole)
+        self.added = added_tokens(path) if added else {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def whole(self, text: str) -> bytes:
         return self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Ids as bytes of little-endian 32-bit numbers."""
+        if any(t in text for t in self.added):
+            return b"".join(self.added[p] if p in self.added else self.plain(p) for p in self.cut.split(text) if p)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if UNEVEN.search(text):
             return self.whole(text)
         words = text.split(" ")
@@ -70,11 +84,11 @@ class Encoder:
         return b"".join([self.whole(words[0]) if words[0] else b"", *rest])
 
 
-_LOADED: dict[str, Encoder] = {}
+_LOADED: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One for each Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    if (path, added) not in _LOADED:
+        _LOADED[path, added] = Encoder(path, added)
+    return _LOADED[path, added]

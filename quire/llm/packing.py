@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = byte_bpe.encoder(path)
+        code = byte_bpe.encoder(path, added=True)
         end = np.uint32(END).tobytes()
         for batch in batches:
             out: list[tuple] = []

@@ -117,3 +117,15 @@ def test_plan_is_best_fit_decreasing(seed):
             used[base + (r - low) // each] += size
             assert offset + (r - low) % each * size + size <= capacity
     assert seen == counts and max(used.values()) <= capacity and len(used) == best_fit(sizes, capacity)
+
+
+def test_added_tokens_are_ids():
+    t = Tokenizer.from_file(PATH)
+    code = byte_bpe.encoder(PATH, added=True)
+    for text in [*TEXTS, "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>\n b", "<|endoftext| >"]:
+        assert np.frombuffer(code(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_takes_added_tokens_as_ids(spark):
+    got = m.packed(odd(spark, [(1, "<|endoftext|>")]), PATH).collect()
+    assert [r.length for r in got] == [2]
