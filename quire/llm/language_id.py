@@ -230,9 +230,25 @@ def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text holds a letter."""
+    at = docs.columns.index("text")
+    kept = [f"c{i}" for i in range(len(docs.columns))]
+    schema = ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(kept, docs.schema, strict=True))
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.toDF(*kept).mapInArrow(keep, schema).toDF(*docs.columns)
+
+
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with their columns, that are in a known language."""
-    found = identified(docs, learned(docs, sample)).toDF(*[f"c{i}" for i in range(len(docs.columns))], "lang_pred", "score")
+    """The rows of docs, with their columns, that are in a known language; if no language can be learned, those with letters."""
+    model = learned(docs, sample)
+    if not model.languages:
+        return lettered(docs)
+    found = identified(docs, model).toDF(*[f"c{i}" for i in range(len(docs.columns))], "lang_pred", "score")
     return found.where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score").toDF(*docs.columns)
 
 

@@ -81,3 +81,9 @@ def test_filters_contain_all_that_was_put_in():
         np.bitwise_or.at(filters[0], m.slots(h, k), np.uint64(1))
     model = m.Model(("en",), filters, np.array([0.0]), 0, 1.0)
     assert m.shares(["text that is put"], model)[0][0, 0] == 1
+
+
+def test_accepted_without_any_language(spark):
+    docs = odd(spark, [(1, "some words"), (2, "123 !"), (3, None), (4, "")], lang=None)
+    out = m.accepted(docs)
+    assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [1]
