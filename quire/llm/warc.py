@@ -131,6 +131,10 @@ def check_digest(named: str | None, data: bytes) -> None:
 def page_of(data: bytes) -> tuple:
     """A row of RECORDS."""
     h, block = parsed(data)
+    if h["warc-type"] not in ("response", "revisit"):
+        payload = block.partition(b"\r\n\r\n")[2] if h["warc-type"] == "request" else block
+        check_digest(h.get("warc-payload-digest"), payload)
+        return None, len(payload), h.get("warc-payload-digest", sha(payload)).partition(":")[2], h["warc-type"], None, h.get("warc-target-uri"), h["warc-record-id"], payload
     http, gap, payload = block.partition(b"\r\n\r\n")
     status, _, lines = http.partition(b"\r\n")
     if not gap or not status.startswith(b"HTTP/"):

@@ -89,3 +89,16 @@ def test_broken_archives():
     for broken in (content[:-3], content + b"abc", content + b"garbage!!", content[:100] + b"\0" * 8 + content[108:]):
         with pytest.raises((m.WarcError, zstandard.ZstdError)):
             list(map(m.page_of, m.frames(broken)))
+
+
+def other(kind, block, digest=None):
+    head = f"WARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{kind}>\r\nWARC-Date: {m.DATE}\r\n" + (f"WARC-Block-Digest: {digest}\r\n" if digest else "")
+    return m.VERSION + b"\r\n" + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+def test_other_records_are_read():
+    blocks = {"warcinfo": b"software: x\r\n", "request": b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "metadata": b"a: b\r\n", "resource": b"bytes"}
+    got = list(m.read_content(m.archive([other(k, b) for k, b in blocks.items()] + [m.record(1, "u", b"page", None)])))
+    assert [r[3] for r in got] == [*blocks, "response"] and got[3][-1] == b"bytes" and got[0][-1] == blocks["warcinfo"]
+    with pytest.raises(m.WarcError):
+        list(m.read_content(m.archive([other("metadata", b"a", m.sha(b"b"))])))
