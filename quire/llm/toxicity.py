@@ -7,7 +7,7 @@ keeps unrelated passages apart. A token scores as itself where it is significant
 significant segment is summed. A logistic curve in that sum makes it a probability.
 
 The model is learned from a bounded sample of labelled rows: about SAMPLE a class, chosen by a hash of doc_id among
-those that may be learned from. at most TOKENS tokens and stems, those of largest significance, are kept and broadcast.
+those that may be learned from. All significant tokens and stems are kept and broadcast: each is in several rows of that sample.
 
 Defined cases: null texts and texts without tokens have no passage and get the curve's lowest value; null doc_ids and
 null labels are never learned from; a doc_id with several labels counts once for each; with one class or none to
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from quire.llm.common import stored, table
 
 SAMPLE = 12_000
-TOKENS = 50_000
 PRIOR = 500.0
 FLAT = 0.5
 Z_LEAST = 3.0
@@ -161,8 +160,8 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(count, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def log_odds(counts: DataFrame, prior: float, z_least: float, most: int) -> tuple[dict[str, float], float]:
-    """Log-odds of the `most` most significant tokens, and of all others together."""
+def log_odds(counts: DataFrame, prior: float, z_least: float) -> tuple[dict[str, float], float]:
+    """Log-odds of the significant tokens, and of all others together."""
     t = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
     n0, n1 = t.n0 or 0, t.n1 or 0
     if not n0 or not n1:
@@ -170,7 +169,7 @@ def log_odds(counts: DataFrame, prior: float, z_least: float, most: int) -> tupl
     own = F.lit(FLAT) + F.lit(prior) * (F.col("n0") + F.col("n1")) / float(n0 + n1)
     side = lambda n, total: F.log((F.col(n) + own) / (total + prior - F.col(n) - own))
     scored = counts.withColumns({"s": side("n1", n1) - side("n0", n0), "z": (side("n1", n1) - side("n0", n0)) / F.sqrt(1 / (F.col("n1") + own) + 1 / (F.col("n0") + own))})
-    top = scored.where(F.abs("z") >= z_least).orderBy(F.abs("z").desc(), "token").limit(most).collect()
+    top = scored.where(F.abs("z") >= z_least).collect()  # of a bounded sample of rows
     rest0, rest1 = n0 - sum(r.n0 for r in top), n1 - sum(r.n1 for r in top)
     rest = math.log((rest1 + 1) / (n1 + 1)) - math.log((rest0 + 1) / (n0 + 1))
     return {r.token: r.s for r in top}, rest
@@ -227,11 +226,11 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: flo
     share = parts.get(1, (0, 0))[0] / total if total else 0.0
     rows = stored(rows.dropDuplicates(["text", "toxic"]), "toxicity-sample")  # copies tell nothing new
     counts = stored(token_counts(rows), "toxicity-counts")
-    odds, rest = log_odds(counts, prior, Z_LEAST, TOKENS)
+    odds, rest = log_odds(counts, prior, Z_LEAST)
     if not odds:
         return Model({}, share=share)
     odds, rest = {t: s - drift for t, s in odds.items()}, rest - drift
-    drawn = score_counts(rows.where("toxic = 0"), Model(odds, rest)).collect()  # a row a score, TOKENS + 1 at most
+    drawn = score_counts(rows.where("toxic = 0"), Model(odds, rest)).collect()  # a row a score, one more than odds
     values, weights = np.array([r.value for r in drawn], float), np.array([r.n for r in drawn], float)
     decay, scale = extreme_value(values, weights)
     model = Model(odds, rest, decay, scale, share=share)

@@ -88,3 +88,70 @@ def test_nothing_to_learn_from(spark):
 def test_extreme_value():
     decay, scale = m.extreme_value(np.array([1.0, -1.0]), np.array([1.0, 3.0]))
     assert abs(decay - np.log(3)) < 1e-6 and scale == 0.25
+
+
+def brute_scores(docs, labels):
+    """Scores of all texts (doc_id: text) with plain dictionaries, and segments found by trying all cuts of the sums."""
+    import math
+    import zlib
+    from collections import Counter
+
+    rows = {(docs[i] or "", y) for i, y in labels if i in docs and y in (0, 1) and zlib.crc32(str(i).encode()) % 5}
+    by = {y: Counter() for y in (0, 1)}
+    for t, y in rows:
+        by[y].update({f for w in m.LETTERS.findall(t.lower()) for f in (w, *(w[:k] + "*" for k in m.STEMS if len(w) > k))})
+    n = {y: sum(c.values()) for y, c in by.items()}
+    scores = {}
+    for f in by[0] | by[1]:
+        own = m.FLAT + m.PRIOR * (by[0][f] + by[1][f]) / (n[0] + n[1])
+        side = lambda y: math.log((by[y][f] + own) / (n[y] + m.PRIOR - by[y][f] - own))  # noqa: B023, E731
+        s = side(1) - side(0)
+        if abs(s / math.sqrt(1 / (by[1][f] + own) + 1 / (by[0][f] + own))) >= m.Z_LEAST:
+            scores[f] = s - m.DRIFT
+    rest = [n[y] - sum(by[y][f] for f in scores) for y in (0, 1)]
+    rest = math.log((rest[1] + 1) / (n[1] + 1)) - math.log((rest[0] + 1) / (n[0] + 1)) - m.DRIFT
+
+    def tokens(t):
+        return [next((scores[f] for f in (w, *(w[:k] + "*" for k in m.STEMS if len(w) > k)) if f in scores), rest) for x in t.split() for w in m.LETTERS.findall(x.lower())]
+
+    clean = Counter(np.float32(s) for t, y in rows if y == 0 for s in tokens(t))
+    decay, scale = m.extreme_value(np.array(list(clean), float), np.array(list(clean.values()), float))
+
+    def best(x):
+        """(score) of maximal segments: the best one, and those left and right of it (Ruzzo and Tompa's definition)."""
+        out, todo = [], [(0, len(x))]
+        total = np.concatenate(([0.0], np.cumsum(np.array(x, np.float32), dtype=np.float64)))
+        while todo:
+            a, b = todo.pop()
+            top, low = (0.0, 0, 0), a
+            for e in range(a + 1, b + 1):
+                if total[e - 1] < total[low]:
+                    low = e - 1
+                if total[e] - total[low] > top[0] + 1e-12:
+                    top = (total[e] - total[low], low, e)
+            if top[0] > 0:
+                out.append(top[0])
+                todo += [(a, top[1]), (top[2], b)]
+        return out
+
+    def total(t):
+        x = tokens(t or "")
+        return sum(e for s in best(x) if (e := decay * s - math.log(max(scale * len(x), 1e-300))) > -math.log(m.E_MOST))
+
+    known = Counter(y for i, y in labels if i is not None and y in (0, 1) and zlib.crc32(str(i).encode()) % 5)
+    x = np.log1p([total(t) for t, _ in rows])
+    a, b = m.curve(x, np.array([y for _, y in rows], float), np.ones(len(rows)))
+    return {i: 1 / (1 + math.exp(-max(-30.0, min(30.0, a * math.log1p(total(t)) + b)))) for i, t in docs.items()}, known
+
+
+def test_whole_result_against_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    want, _ = brute_scores({r.doc_id: r.text for r in docs.collect()}, [(r.doc_id, r.toxic) for r in labels.collect()])
+    got = {r.doc_id: r.score for r in m.predictions(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 for i in want)
+
+
+def test_every_significant_token_is_kept(spark):
+    counts = spark.range(120_000).selectExpr("concat('t', id) AS token", "if(id % 2 = 0, 300L, 0L) AS n0", "if(id % 2 = 0, 0L, 300L) AS n1")
+    odds, _ = m.log_odds(counts, m.PRIOR, m.Z_LEAST)
+    assert len(odds) == 120_000 and odds["t1"] > 0 > odds["t0"]
