@@ -8,7 +8,10 @@ n-grams are of N letters and word boundaries: letters are lower-cased, and whate
 boundary. A language contains an n-gram if it is frequent enough in it (LEAST, SHARE).
 
 The filters are learned from a bounded sample, of about SAMPLE documents a language, chosen by a hash of doc_id among
-the rows that may be learned from. What is broadcast has SLOTS x languages bits.
+the rows that may be learned from. What is collected and broadcast has SLOTS x languages bits.
+
+A filtering stage (`accepted`) rejects a text without letters, and one whose best language holds less than KNOWN of its
+n-grams: it is in no language that was learned. Texts of fewer than ENOUGH n-grams are too short to be rejected so.
 
 Defined cases: null texts and texts without letters are `und` with score 0; texts with no n-gram of a language get the
 most frequent language and its share; null languages and doc_ids are never learned from; repeated rows are
@@ -33,6 +36,8 @@ SLOTS = 1 << 20
 SAMPLE = 4000
 LEAST = 4
 SHARE = 0.2
+KNOWN = 0.2
+ENOUGH = 12
 CHUNK = 1 << 20
 BATCH_ROWS = 1000
 UNKNOWN = "und"
@@ -56,8 +61,7 @@ def fold() -> np.ndarray:
     """Of each code point: the lower-cased letter, or 32."""
     if not _FOLD:
         out = np.full(0x110000, 32, np.uint32)
-        for i in range(0x30000):
-            c = chr(i)
+        for i, c in enumerate(map(chr, range(0x110000))):
             if c.isalpha():
                 low = c.lower()
                 out[i] = ord(low) if len(low) == 1 else i
@@ -133,6 +137,21 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
+def sliced(kept: DataFrame, number: dict[str, int]) -> DataFrame:
+    """word, slot, mask: the slots that are set by kept (gram, langs), languages by their numbers, 64 a word."""
+
+    def set_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().astype(np.uint32)
+            i = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
+            word, mask = i // 64, (np.uint64(1) << (i % 64).astype(np.uint64)).view(np.int64)
+            for k in range(HASHES):
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(slots(h, k).astype(np.int64)), pa.array(mask)], names=["word", "slot", "mask"])
+
+    rows = kept.select("gram", F.explode("langs").alias("lang"))
+    return rows.mapInArrow(set_bits, "word long, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+
+
 def learned(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, share: float = SHARE) -> Model:
     """A model of docs (doc_id, text, lang), from the rows that may be learned from."""
     own = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(trainable(docs))
@@ -151,20 +170,16 @@ def learned(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, share: fl
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("n") >= least)
     entries = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate")).alias("by"))
     kept = entries.select("gram", F.transform(F.filter("by", lambda x: x["rate"] >= share * F.col("most")), lambda x: x["lang"]).alias("langs"))
-    number = {lang: i for i, lang in enumerate(languages)}
-    found = kept.select("gram", F.explode("langs").alias("lang")).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
-    for r in found.toLocalIterator():  # a row a language, of n-grams of a bounded sample
-        h = np.array(r.grams, np.int64).astype(np.uint32)
-        i = number[r.lang]
-        for k in range(HASHES):
-            np.bitwise_or.at(filters[i // 64], slots(h, k), np.uint64(1 << (i % 64)))
+    made = sliced(kept, {lang: i for i, lang in enumerate(languages)}).toArrow()  # SLOTS rows for 64 languages at most
+    word, slot, mask = (made.column(i).to_numpy() for i in range(3))
+    filters[word, slot] = mask.view(np.uint64)
     fill = np.array([((filters[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
     most = max(languages, key=lambda x: (known[x], x))
-    return Model(languages, filters, fill**HASHES, number[most], known[most] / sum(known.values()))
+    return Model(languages, filters, fill**HASHES, languages.index(most), known[most] / sum(known.values()))
 
 
-def shares(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """For each text: the corrected share of its n-grams in each language, and the number of its letters."""
+def shares(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: the corrected share of its n-grams in each language, and the numbers of its n-grams and letters."""
     h, counts, letters = grams(texts)
     out = np.zeros((len(texts), len(model.languages)))
     ends = np.cumsum(counts)
@@ -178,22 +193,24 @@ def shares(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
             sums = np.concatenate(([0], np.cumsum(ones, dtype=np.int64)))
             out[:, i] = sums[ends] - sums[ends - counts]
     out /= np.maximum(counts, 1)[:, None]
-    return np.maximum(0, (out - model.false_positives) / (1 - model.false_positives)), letters
+    return np.maximum(0, (out - model.false_positives) / (1 - model.false_positives)), counts, letters
 
 
-def decided(texts: list[str], model: Model) -> list[tuple[str, float]]:
+def decided(texts: list[str], model: Model) -> list[tuple[str, float, bool]]:
+    """For each text: its language, the score, and whether it may well be in that language."""
     if not model.languages:
-        return [(UNKNOWN, 0.0)] * len(texts)
-    own, letters = shares(texts, model)
+        return [(UNKNOWN, 0.0, n > 0) for n in grams(texts)[2].tolist()] if texts else []
+    own, counts, letters = shares(texts, model)
     best, total = own.argmax(axis=1), own.sum(axis=1)
     out = []
     for k in range(len(texts)):
         if not letters[k]:
-            out.append((UNKNOWN, 0.0))
+            out.append((UNKNOWN, 0.0, False))
         elif not total[k]:
-            out.append((model.languages[model.most], model.prior))
+            out.append((model.languages[model.most], model.prior, bool(counts[k] < ENOUGH)))
         else:
-            out.append((model.languages[best[k]], float(own[k, best[k]] / total[k])))
+            known = counts[k] < ENOUGH or own[k, best[k]] >= KNOWN
+            out.append((model.languages[best[k]], float(own[k, best[k]] / total[k]), bool(known)))
     return out
 
 
@@ -202,7 +219,7 @@ def narrow(filters: np.ndarray, languages: int) -> np.ndarray:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with columns lang_pred and score after those of docs."""
+    """docs with columns lang_pred, score and known after those of docs."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     small = Model(model.languages, narrow(model.filters, len(model.languages)), model.false_positives, model.most, model.prior)
@@ -215,11 +232,11 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             out = [x for part in chunks(texts) for x in decided(part, shared.value)]
-            added = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*kept, "lang_pred", "score"])
+            added = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*kept, "lang_pred", "score", "known"])
 
-    made = docs.toDF(*kept).mapInArrow(identify, f"{schema}, lang_pred string, score double")
-    return made.toDF(*docs.columns, "lang_pred", "score")
+    made = docs.toDF(*kept).mapInArrow(identify, f"{schema}, lang_pred string, score double, known boolean")
+    return made.toDF(*docs.columns, "lang_pred", "score", "known")
 
 
 def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -230,26 +247,12 @@ def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def lettered(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text holds a letter."""
-    at = docs.columns.index("text")
-    kept = [f"c{i}" for i in range(len(docs.columns))]
-    schema = ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(kept, docs.schema, strict=True))
-
-    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column(at).to_pylist()], pa.bool_()))
-
-    return docs.toDF(*kept).mapInArrow(keep, schema).toDF(*docs.columns)
-
-
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with their columns, that are in a known language; if no language can be learned, those with letters."""
-    model = learned(docs, sample)
-    if not model.languages:
-        return lettered(docs)
-    found = identified(docs, model).toDF(*[f"c{i}" for i in range(len(docs.columns))], "lang_pred", "score")
-    return found.where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score").toDF(*docs.columns)
+    """The rows of docs, with their columns, whose text has letters and may well be in a language that was learned; with
+    nothing to learn from, those with letters."""
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    found = identified(docs, learned(docs, sample)).toDF(*columns, "lang_pred", "score", "known")
+    return found.where("known").select(*columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

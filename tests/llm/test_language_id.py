@@ -87,3 +87,54 @@ def test_accepted_without_any_language(spark):
     docs = odd(spark, [(1, "some words"), (2, "123 !"), (3, None), (4, "")], lang=None)
     out = m.accepted(docs)
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [1]
+
+
+def test_letters_of_every_plane(spark):
+    assert m.grams([chr(0x30000) + chr(0x30001)])[2].tolist() == [2]
+    data = [(i, f"{chr(0x30000 + i % 2 * 50)}{chr(0x30001 + i % 2 * 50)} " * 20, f"l{i % 2}") for i in range(100)]
+    assert {(r.doc_id % 2, r.lang_pred) for r in m.predictions(frame(spark, data)).collect()} == {(0, "l0"), (1, "l1")}
+
+
+def test_the_prediction_decides_what_is_accepted(spark):
+    data = corpus() + [(900, "ප්රකා ශයට " * 10, None), (901, "qzxj vkwq " * 30, None), (902, "qz", None), (903, "der und mit nicht " * 5 + "qzxj vkwq " * 5, None)]
+    kept = {r.doc_id for r in m.accepted(frame(spark, data)).collect()}
+    assert kept == set(range(300)) | {902, 903}
+
+
+def brute(data, sample):
+    """Predictions with sets of n-grams instead of filters, without false positives: (language, share of each)."""
+    fold = lambda t: "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in t)
+    cut = lambda t: (lambda p: [p[i : i + m.N] for i in range(len(p) - m.N + 1)])(" " + " ".join(fold(t).split()) + (" " if fold(t).split() else ""))
+    counts = {}
+    for i, t, lang in data:
+        if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            c = counts.setdefault(lang, {})
+            for g in cut(t):
+                c[g] = c.get(g, 0) + 1
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items() if n >= m.LEAST} for k, c in counts.items()}
+    most = {}
+    for c in rate.values():
+        for g, x in c.items():
+            most[g] = max(x, most.get(g, 0))
+    held = {k: {g for g, x in c.items() if x >= m.SHARE * most[g]} for k, c in rate.items()}
+    out = {}
+    for i, t, _ in data:
+        own = cut(t or "")
+        shares = {k: sum(g in s for g in own) / max(1, len(own)) for k, s in held.items()}
+        out[i] = shares if any(map(str.isalpha, t or "")) else None
+    return out
+
+
+def test_whole_result_against_sets_of_n_grams(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    data = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    want = brute(data, len(data))
+    got = m.predictions(docs, sample=10**9).collect()
+    assert len(got) == len(data)
+    for r in got:
+        shares = want[r.doc_id]
+        if shares is None:
+            assert r.lang_pred == "und" and r.score == 0
+        elif sum(shares.values()) > 0:
+            first = max(shares.values())
+            assert shares[r.lang_pred] >= first - 0.005 and abs(r.score - shares[r.lang_pred] / sum(shares.values())) < 0.02
