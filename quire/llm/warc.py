@@ -1,13 +1,18 @@
 """WARC archives compressed with Zstandard: writer, and reader with validation.
 
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself compressed or
-not; each record follows as one frame of its own, made with that dictionary. The reader walks the frames one at
-a time, so it holds one record and the compressed archive, never the whole decoded archive, and checks: frame magic
-and checksum, the version line, mandatory headers, the block's length against Content-Length, the two
+not; each record follows as one frame of its own, made with that dictionary. The reader walks a stream of frames one at
+a time in small steps, so its time is linear in the archive and it holds one record, and checks: frame magic
+and checksum, the version line, mandatory headers, headers that may not repeat, the block's length against Content-Length, the two
 line ends after the block, and the block and payload digests.
 
 Archives are rows (archive_id, content): a Parquet table in a store that all executors share, written under Spark's
-commit protocol, or files read by `read_files`. `export` writes them as .warc.zst files.
+commit protocol, or files. `read_files` takes whole files from Spark's own reader, whatever the store; `stream_files` opens
+those that pyarrow's filesystems reach, and never holds a file. `export` writes .warc.zst files.
+
+A record that breaks the format is a row whose `error` says how; the records after it are read. Where the frames
+themselves break off, the archive's last row says so. With strict=True either fails the job instead. The dictionary is trained on
+the first 16 KiB of a record at most, which changes sizes only.
 
 Defined cases: a null payload is an empty one; for a null or empty URL `urn:page:<id>` stands in; a row with a null page_id is always a response and never
 referred to; rows that share page_id and payload are all of the type that their page_id gives; line ends within a
@@ -18,9 +23,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
@@ -36,7 +44,10 @@ VERSION = b"WARC/1.1"
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+MAY_REPEAT = ("warc-concurrent-to",)
+
 REVISIT_LEAST = 100
+STEP_BYTES = 4 << 10
 ARCHIVE_BYTES = 4 << 20
 ARCHIVE_ROWS = 2048
 DICT_BYTES = 16 << 10
@@ -47,7 +58,7 @@ PAGE_SCHEMA = "page_id long, record_type string, refers_to long, payload binary"
 ARCHIVES = "archive_id string, content binary"
 RECORDS = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
-    "target_uri string, record_id string, payload binary"
+    "target_uri string, record_id string, payload binary, error string"
 )
 
 
@@ -89,15 +100,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return VERSION + b"\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def headers(text: bytes) -> dict[str, str]:
-    out = {}
-    for line in text.split(b"\r\n"):
+def headers(text: bytes, may_repeat: tuple[str, ...] | None = MAY_REPEAT) -> dict[str, str]:
+    """By lower-case name. Repeated ones are joined by commas if they may repeat (None: all may), else an error. A line
+    that starts with white space goes on the one before."""
+    out: dict[str, str] = {}
+    last = ""
+    for line in text.split(b"\r\n") if text else []:
+        if last and line[:1] in (b" ", b"\t"):
+            out[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
         if not colon or not name or name.strip() != name:
             raise WarcError(f"bad header line {line[:80]!r}")
-        if name.lower().decode("latin-1") in out:
+        last = name.lower().decode("latin-1")
+        own = value.strip().decode("utf-8", "replace")
+        if last in out and may_repeat is not None and last not in may_repeat:
             raise WarcError(f"header {name!r} twice")
-        out[name.lower().decode("latin-1")] = value.strip().decode()
+        out[last] = f"{out[last]}, {own}" if last in out else own
     return out
 
 
@@ -129,27 +148,34 @@ def check_digest(named: str | None, data: bytes) -> None:
 
 
 def page_of(data: bytes) -> tuple:
-    """A row of RECORDS."""
+    """A row of RECORDS. Only blocks of HTTP messages have a head before the payload."""
     h, block = parsed(data)
-    if h["warc-type"] not in ("response", "revisit"):
-        payload = block.partition(b"\r\n\r\n")[2] if h["warc-type"] == "request" else block
-        check_digest(h.get("warc-payload-digest"), payload)
-        return None, len(payload), h.get("warc-payload-digest", sha(payload)).partition(":")[2], h["warc-type"], None, h.get("warc-target-uri"), h["warc-record-id"], payload
-    http, gap, payload = block.partition(b"\r\n\r\n")
-    status, _, lines = http.partition(b"\r\n")
+    kind = h["warc-type"]
+    number = lambda k: int(h[k]) if k in h else None
+    digest = h.get("warc-payload-digest")
+    ids = (h.get("warc-target-uri"), h["warc-record-id"])
+    http = kind in ("response", "revisit") and h.get("content-type", "application/http").startswith("application/http")
+    if not http:
+        payload = block.partition(b"\r\n\r\n")[2] if kind == "request" else block
+        check_digest(digest, payload)
+        return number("x-page-id"), len(payload), (digest or sha(payload)).partition(":")[2], kind, number("x-refers-to-page-id"), *ids, payload, None
+    head, gap, payload = block.partition(b"\r\n\r\n")
+    status, _, lines = head.partition(b"\r\n")
     if not gap or not status.startswith(b"HTTP/"):
         raise WarcError("no HTTP head in the block")
-    length = int(headers(lines).get("content-length", len(payload)))
-    revisit = h["warc-type"] == "revisit"
-    if not revisit:
-        if length != len(payload):
+    fields = headers(lines, None)
+    named = fields.get("content-length", str(len(payload)))
+    if not named.isdigit():
+        raise WarcError(f"HTTP Content-Length {named[:40]!r}")
+    length = int(named)
+    if kind == "response":
+        if length != len(payload) and "transfer-encoding" not in fields and "warc-truncated" not in h:
             raise WarcError(f"payload of {len(payload)} bytes, HTTP names {length}")
-        check_digest(h.get("warc-payload-digest"), payload)
+        check_digest(digest, payload)
+        length = len(payload)
     elif payload:
         raise WarcError("a revisit record with a payload")
-    named = h.get("warc-payload-digest", sha(payload)).partition(":")[2]
-    number = lambda k: int(h[k]) if k in h else None
-    return number("x-page-id"), length, named, h["warc-type"], number("x-refers-to-page-id"), h.get("warc-target-uri"), h["warc-record-id"], None if revisit else payload
+    return number("x-page-id"), length, (digest or sha(payload)).partition(":")[2], kind, number("x-refers-to-page-id"), *ids, None if kind == "revisit" else payload, None
 
 
 # Archives
@@ -180,38 +206,89 @@ def archive(records: list[bytes], level: int = 3) -> bytes:
     return b"".join(out)
 
 
-def frames(content: bytes) -> Iterator[bytes]:
+class Buffered:
+    """Reads a stream in steps, and takes back what was read too far."""
+
+    def __init__(self, stream: BinaryIO):
+        self.stream, self.held, self.at = stream, b"", 0
+
+    def some(self, n: int) -> bytes:
+        """Up to n bytes: none only at the end."""
+        out, self.held = (self.held[:n], self.held[n:]) if self.held else (self.stream.read(n), b"")
+        self.at += len(out)
+        return out
+
+    def exactly(self, n: int, what: str) -> bytes:
+        out = b""
+        while len(out) < n:
+            more = self.some(n - len(out))
+            if not more:
+                raise WarcError(f"{what} is cut off at byte {self.at}")
+            out += more
+        return out
+
+    def back(self, data: bytes) -> None:
+        self.held = data + self.held
+        self.at -= len(data)
+
+
+def frames(stream: BinaryIO, step: int = STEP_BYTES) -> Iterator[bytes]:
     """The record of each frame of an archive."""
-    at, known = 0, None
-    while at < len(content):
-        if len(content) - at < 8:
-            raise WarcError(f"{len(content) - at} bytes after the last frame")
-        magic, size = struct.unpack_from("<II", content, at)
+    source, known = Buffered(stream), None
+    while first := source.some(1):
+        start = source.at - 1
+        magic, size = struct.unpack("<II", first + source.exactly(7, "a frame's head"))
         if magic & 0xFFFFFFF0 == 0x184D2A50:
-            body = content[at + 8 : at + 8 + size]
-            if len(body) != size:
-                raise WarcError("a skippable frame is cut off")
-            if magic == DICT_MAGIC and at == 0:
-                if body[:4] == struct.pack("<I", FRAME_MAGIC):
-                    body = zstandard.ZstdDecompressor().decompress(body)
-                known = zstandard.ZstdCompressionDict(body)
-            at += 8 + size
+            body = source.exactly(size, "a skippable frame")
+            if magic == DICT_MAGIC and start == 0:
+                try:
+                    if body[:4] == struct.pack("<I", FRAME_MAGIC):
+                        body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+                    known = zstandard.ZstdCompressionDict(body)
+                except (zstandard.ZstdError, ValueError) as e:
+                    raise WarcError(f"the dictionary: {e}") from e
             continue
         if magic != FRAME_MAGIC:
-            raise WarcError(f"no frame at byte {at}")
+            raise WarcError(f"no frame at byte {start}")
         d = zstandard.ZstdDecompressor(dict_data=known).decompressobj()
+        out, more = [], struct.pack("<II", magic, size)
         try:
-            data = d.decompress(memoryview(content)[at:])
+            while not d.eof and more:
+                out.append(d.decompress(more))
+                more = b"" if d.eof else source.some(step)
         except zstandard.ZstdError as e:
-            raise WarcError(f"the frame at byte {at}: {e}") from e
+            raise WarcError(f"the frame at byte {start}: {e}") from e
         if not d.eof:
-            raise WarcError(f"the frame at byte {at} is cut off")
-        at = len(content) - len(d.unused_data)
-        yield data
+            raise WarcError(f"the frame at byte {start} is cut off")
+        source.back(d.unused_data)
+        yield b"".join(out)
+
+
+def read_stream(stream: BinaryIO, strict: bool = True) -> Iterator[tuple]:
+    """Rows of RECORDS; unless strict, also for what breaks the format."""
+    failed = lambda e: (*[None] * 8, str(e))
+    found = frames(stream)
+    while True:
+        try:
+            data = next(found, None)
+        except WarcError as e:
+            if strict:
+                raise
+            yield failed(e)
+            return
+        if data is None:
+            return
+        try:
+            row = page_of(data)
+        except ValueError as e:
+            if strict:
+                raise
+            row = failed(e)
+        yield row
 
 
-def read_content(content: bytes) -> Iterator[tuple]:
-    return (page_of(r) for r in frames(content))
+def read_content(content: bytes, strict: bool = True) -> Iterator[tuple]:
+    return read_stream(io.BytesIO(content), strict)
 
 
 # DataFrames
@@ -260,32 +337,45 @@ def write(pages: DataFrame, least: int = REVISIT_LEAST, archive_bytes: int = ARC
     return rows.mapInArrow(lambda it: pack(it, "a", archive_bytes, archive_rows), ARCHIVES)
 
 
-def read(archives: DataFrame, payloads: bool = True, rows: int = 64) -> DataFrame:
-    """RECORDS of archives (content). An archive that breaks the format fails the job."""
+def record_batches(found: Iterator[tuple], payloads: bool, rows: int) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in RECORDS.split(", ")]
     types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]] for f in RECORDS.split(", ")]
+    while held := list(islice(found, rows)):
+        columns = dict(zip(names, zip(*held, strict=True), strict=True))
+        if not payloads:
+            columns["payload"] = [None] * len(held)
+        yield pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in zip(names, types, strict=True)], names=names)
 
-    def frame(held: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+def read(archives: DataFrame, payloads: bool = True, rows: int = 64, strict: bool = False) -> DataFrame:
+    """RECORDS of archives (content)."""
 
     def records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                held = []
-                for r in read_content(content.as_py()):
-                    held.append(r if payloads else (*r[:-1], None))
-                    if len(held) == rows:
-                        yield frame(held)
-                        held = []
-                if held:
-                    yield frame(held)
+                yield from record_batches(read_content(content.as_py(), strict), payloads, rows)
 
     return archives.select("content").mapInArrow(records, RECORDS)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """RECORDS of .warc.zst files."""
-    return read(spark.read.format("binaryFile").load(path))
+def read_files(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """RECORDS of .warc.zst files, in any store that Spark reads; a task holds a whole compressed file."""
+    return read(spark.read.format("binaryFile").load(path), strict=strict)
+
+
+def stream_files(spark: SparkSession, path: str, payloads: bool = True, rows: int = 64, strict: bool = False) -> DataFrame:
+    """RECORDS of .warc.zst files, in stores that pyarrow reaches; a task holds one record."""
+
+    def records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(uri)
+                with store.open_input_stream(at, compression=None) as f:
+                    yield from record_batches(read_stream(f, strict), payloads, rows)
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(records, RECORDS)
 
 
 def export(archives: DataFrame, uri: str) -> DataFrame:
@@ -315,7 +405,7 @@ def base_columns(records: DataFrame) -> list[Column]:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a batch may hold 64 archives or pages
     archives = stored(write(table(spark, sf_dir, "pages")), "warc")
-    records = read(archives, payloads=False)
+    records = read(archives, payloads=False, strict=True)
     return records.select(*base_columns(records))
 
 

@@ -1,5 +1,8 @@
 import hashlib
+import io
+import os
 import struct
+import time
 
 import pytest
 import zstandard
@@ -51,7 +54,11 @@ def test_files(spark, sf, tmp_path):
     m.export(archives, f"file://{tmp_path}/w").collect()
     files = sorted((tmp_path / "w").iterdir())
     assert len(files) > 3 and all(f.name.endswith(".warc.zst") for f in files)
-    assert rows(m.read_files(spark, f"{tmp_path}/w")) == rows(m.read(archives))
+    assert rows(m.read_files(spark, f"{tmp_path}/w")) == rows(m.read(archives)) == rows(m.stream_files(spark, f"{tmp_path}/w"))
+
+
+def frames(content):
+    return m.frames(io.BytesIO(content))
 
 
 def some(n=40):
@@ -61,14 +68,14 @@ def some(n=40):
 def test_dictionary_frame():
     content = m.archive(some())
     magic, size = struct.unpack_from("<II", content)
-    assert magic == m.DICT_MAGIC and len(list(m.frames(content))) == 40
-    assert list(m.frames(content)) == some()
+    assert magic == m.DICT_MAGIC and len(list(frames(content))) == 40
+    assert list(frames(content)) == some()
     plain = zstandard.ZstdDecompressor().decompress(content[8 : 8 + size])
     bare = struct.pack("<II", m.DICT_MAGIC, len(plain)) + plain + content[8 + size :]
-    assert list(m.frames(bare)) == some()  # a dictionary may also be stored as it is
+    assert list(frames(bare)) == some()  # a dictionary may also be stored as it is
     with pytest.raises(m.WarcError):
-        list(m.frames(content[8 + size :]))  # without its dictionary
-    assert list(m.frames(m.archive(some(3)))) == some(3) and list(m.frames(b"")) == []
+        list(frames(content[8 + size :]))  # without its dictionary
+    assert list(frames(m.archive(some(3)))) == some(3) and list(frames(b"")) == []
 
 
 @pytest.mark.parametrize("change", [
@@ -88,7 +95,7 @@ def test_broken_archives():
     content = m.archive(some())
     for broken in (content[:-3], content + b"abc", content + b"garbage!!", content[:100] + b"\0" * 8 + content[108:]):
         with pytest.raises((m.WarcError, zstandard.ZstdError)):
-            list(map(m.page_of, m.frames(broken)))
+            list(map(m.page_of, frames(broken)))
 
 
 def other(kind, block, digest=None):
@@ -99,6 +106,43 @@ def other(kind, block, digest=None):
 def test_other_records_are_read():
     blocks = {"warcinfo": b"software: x\r\n", "request": b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "metadata": b"a: b\r\n", "resource": b"bytes"}
     got = list(m.read_content(m.archive([other(k, b) for k, b in blocks.items()] + [m.record(1, "u", b"page", None)])))
-    assert [r[3] for r in got] == [*blocks, "response"] and got[3][-1] == b"bytes" and got[0][-1] == blocks["warcinfo"]
+    assert [r[3] for r in got] == [*blocks, "response"] and got[3][-2] == b"bytes" and got[0][-2] == blocks["warcinfo"]
     with pytest.raises(m.WarcError):
         list(m.read_content(m.archive([other("metadata", b"a", m.sha(b"b"))])))
+
+
+def test_headers_that_repeat():
+    twice = [("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>")]
+    raw = lambda more: other("metadata", b"x").replace(b"WARC-Date", b"".join(f"{k}: {v}\r\n".encode() for k, v in more) + b"WARC-Date", 1)
+    h, _ = m.parsed(raw(twice))
+    assert h["warc-concurrent-to"] == "<urn:a>, <urn:b>"
+    with pytest.raises(m.WarcError):
+        m.parsed(raw([("WARC-Date", "2020")]))
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nSet-Cookie: b\r\nX-Long: one\r\n two\r\nContent-Length: 2\r\n\r\nhi"
+    assert m.page_of(other("response", http))[-2] == b"hi"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 9\r\n\r\n2\r\nhi\r\n0\r\n\r\n"
+    assert m.page_of(other("response", chunked))[1] == 12
+    dns = other("response", b"20200101 example.org").replace(b"WARC-Date", b"Content-Type: text/dns\r\nWARC-Date", 1)
+    assert m.page_of(dns)[-2] == b"20200101 example.org"
+
+
+def test_bad_records_are_rows(spark):
+    good, bad = some(20), other("metadata", b"a", m.sha(b"b"))
+    whole = m.archive([*good[:10], bad, *good[10:]])
+    archives = spark.createDataFrame([("a", whole), ("b", whole[:-5]), ("c", b"no archive at all")], m.ARCHIVES)
+    got = m.read(archives).collect()
+    assert len(got) == 21 + 21 + 1
+    assert [bool(r.error) for r in got] == [False] * 10 + [True] + [False] * 10 + [False] * 10 + [True] + [False] * 9 + [True] + [True]
+    assert all((r.page_id is None) == bool(r.error) for r in got)
+    with pytest.raises(Exception, match="digest"):
+        m.read(archives.where("archive_id = 'a'"), strict=True).collect()
+
+
+def test_reading_is_linear():
+    spent = []
+    for n in (2000, 16000):
+        content = m.archive([m.record(i, "u", os.urandom(700), None) for i in range(n)])
+        began = time.process_time()
+        assert sum(1 for _ in frames(content)) == n
+        spent.append(time.process_time() - began)
+    assert spent[1] < 20 * max(spent[0], 0.05)
