@@ -2,25 +2,25 @@
 add_special_tokens off: with `added`, strings of the file's added tokens are cut out and become their ids, as by default
 there; without, they are ordinary text, as with encode_special_tokens set.
 
-A text without doubled white space falls into words at its single spaces, where the pre-tokenizer always cuts;
-the ids of a word are kept for the next time. Other texts are encoded as a whole. Which way a text goes doesn't
-change its ids.
+Texts are encoded as a whole. One with a run of white space that is too long for tiktoken's matcher is encoded by
+`tokenizers`, with the same ids.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import tiktoken
+from tokenizers import Tokenizer
 
 #: The pre-tokenizer's pattern and the byte alphabet of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-UNEVEN = re.compile(r"\s | \s")
-WORDS_KEPT = 600_000
-LONGEST_KEPT = 64
+LONG_RUN = 50_000
+LONG = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 def byte_of() -> dict[str, int]:
@@ -43,45 +43,26 @@ def added_tokens(path: str) -> dict[str, bytes]:
         return {t["content"]: t["id"].to_bytes(4, "little") for t in json.load(f).get("added_tokens", [])}
 
 
-class Words(dict):
-    """Ids, as bytes of little-endian 32-bit numbers, by the word with the space before it. Forgets all words when full."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(" " + word)
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     def __init__(self, path: str, added: bool = False):
         ranks = vocabulary(path)
         self.bpe = tiktoken.Encoding("quire", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words = Words(self.whole)
+        self.path = path
         self.added = added_tokens(path) if added else {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def whole(self, text: str) -> bytes:
+        if len(text) >= LONG_RUN and LONG.search(text):
+            plain = Tokenizer.from_file(self.path)
+            plain.encode_special_tokens = True
+            return array("I", plain.encode(text, add_special_tokens=False).ids).tobytes()
         return self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Ids as bytes of little-endian 32-bit numbers."""
         if any(t in text for t in self.added):
-            return b"".join(self.added[p] if p in self.added else self.plain(p) for p in self.cut.split(text) if p)
-        return self.plain(text)
-
-    def plain(self, text: str) -> bytes:
-        if UNEVEN.search(text):
-            return self.whole(text)
-        words = text.split(" ")
-        rest = map(self.words.__getitem__, words[1:])
-        return b"".join([self.whole(words[0]) if words[0] else b"", *rest])
+            return b"".join(self.added[p] if p in self.added else self.whole(p) for p in self.cut.split(text) if p)
+        return self.whole(text)
 
 
 _LOADED: dict[tuple[str, bool], Encoder] = {}

@@ -126,6 +126,12 @@ def test_added_tokens_are_ids():
         assert np.frombuffer(code(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs():
+    for text in ("a" + " " * 3_000_000 + "b", "\n" * 60_000, "w" * 200_000, "<|endoftext|>" + " " * 200_000):
+        t = Tokenizer.from_file(PATH)
+        assert np.frombuffer(byte_bpe.encoder(PATH, added=True)(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_takes_added_tokens_as_ids(spark):
     got = m.packed(odd(spark, [(1, "<|endoftext|>")]), PATH).collect()
     assert [r.length for r in got] == [2]
