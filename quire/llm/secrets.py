@@ -6,9 +6,13 @@ are merged on the map side into a bit set, and the rules' queries intersect them
 verified on a document, by their regular expression, over the whole text; rules without mandatory trigrams
 (`hex`) scan every text.
 
+Texts meet the candidates by doc_id, but only those whose doc_id is in a bitmap of the candidates' hashed ids move for that;
+all others are scanned where they are, by the rules without mandatory trigrams. The bitmap has BITS_A_KEY bits for each candidate and
+MOST_BITS (32 MB) at most; beyond that more texts move, with equal results.
+
 Positions come from the pieces between matches, whose lengths are added up, in code points.
 
-Defined cases: a null text counts as empty; a null doc_id is a key like any other; rows that repeat a doc_id share
+Defined cases: a null text counts as empty; rows with a null doc_id aren't in the index and are scanned by every rule; rows that repeat a doc_id share
 postings, which can only add candidates; an empty table gives no rows; other columns are ignored.
 """
 
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import trigrams
-from quire.llm.common import table
+from quire.llm.common import stored, table
 
 
 def either_case(word: str) -> str:
@@ -49,11 +53,14 @@ RULES = (
 #: Equal to the rule's matches that are long enough, and cheaper: a run is matched whole or not at all.
 FASTER = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 STEP = 256
+BITS_A_KEY = 16
+MOST_BITS = 1 << 28
+BITMAP_BITS = 1 << 15  # fixed value: of one of Spark's bitmaps
 
 
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
     """gram, doc_id: the inverted index, of the trigrams that the rules ask for. Each trigram is looked for once in the lower-cased text."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
+    low = docs.where("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("low"))
     held = F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)])
     return low.select("doc_id", F.explode(F.array_compact(held)).alias("gram"))
 
@@ -118,18 +125,37 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda z: F.concat_ws(":", z["kind"], z["start"].cast("string"), z["end"].cast("string"))), ",")
 
 
-def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def bitmap(ids: Column, bits: int) -> tuple[Column, Column]:
+    """The number of the bitmap, and the position in it, of hashed ids."""
+    at = F.pmod(F.xxhash64(ids, F.lit("bitmap")), F.lit(bits).cast("long"))
+    return F.floor(at / BITMAP_BITS), F.pmod(at, F.lit(BITMAP_BITS).cast("long"))
+
+
+def near(rows: DataFrame, found: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """rows with a column _near: doc_id may be among the _id of found."""
+    wanted = BITS_A_KEY * found.count()
+    bits = min(most_bits, max(BITMAP_BITS, 1 << wanted.bit_length()))
+    number, place = bitmap(F.col("_id"), bits)
+    maps = found.select(number.alias("_map"), place.alias("p")).groupBy("_map").agg(F.bitmap_construct_agg("p").alias("_bits"))
+    number, place = bitmap(F.col("doc_id"), bits)
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_place") / 8).cast("int") + 1, 1)), 16, 10).cast("long")
+    set_ = F.call_function("getbit", byte, F.pmod("_place", F.lit(8)).cast("int")) == 1
+    both = rows.withColumns({"_map": number, "_place": place}).join(F.broadcast(maps), "_map", "left")
+    return both.withColumn("_near", F.col("doc_id").isNotNull() & F.coalesce(set_, F.lit(False))).drop("_map", "_place", "_bits")
+
+
+def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most_bits: int = MOST_BITS) -> DataFrame:
     """docs and a column _spans: array<struct<start,number,end,kind,size>> by start, then rule."""
-    own = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = candidates(own, rules)
-    rows = docs.select("*", F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = stored(candidates(docs.select("doc_id", text.alias("text")), rules), "secret-candidates")
+    rows = near(docs.withColumn("_text", text), found, most_bits)
     none = F.array().cast("array<struct<start:bigint,number:int,end:bigint,kind:string,size:bigint>>")
-    each = []
-    for n, r in enumerate(rules):
-        own = spans(F.col("_text"), r, n)
-        each.append(F.when(F.col(f"may_{r.kind}"), own).otherwise(none) if f"may_{r.kind}" in found.columns else own)
-    return rows.withColumn("_spans", F.array_sort(F.concat(*each))).select(*docs.columns, "_spans")
+    indexed = [c.removeprefix("may_") for c in found.columns if c.startswith("may_")]
+    own = {r.kind: spans(F.col("_text"), r, n) for n, r in enumerate(rules)}
+    every = lambda may: F.array_sort(F.concat(*[F.when(may(k), x).otherwise(none) if k in indexed else x for k, x in own.items()]))
+    there = rows.where("_near").join(found, F.col("doc_id") == F.col("_id"), "left").withColumn("_spans", every(lambda k: F.col(f"may_{k}")))
+    here = rows.where("NOT _near").withColumn("_spans", every(lambda k: F.col("doc_id").isNull()))
+    return there.select(*docs.columns, "_spans").unionByName(here.select(*docs.columns, "_spans"))
 
 
 def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

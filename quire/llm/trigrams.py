@@ -6,8 +6,7 @@ text that the expression matches. Runs while a plan is made, on the rules alone.
 
 from __future__ import annotations
 
-import re._constants as c
-import re._parser as parser
+import re
 from dataclasses import dataclass
 from itertools import product
 
@@ -40,10 +39,17 @@ def either(a, b):
     if a is True or b is True:
         return True
     parts = [p for q in (a, b) for p in (q[1] if isinstance(q, tuple) and q[0] == "or" else [q])]
-    unique = list(dict.fromkeys(map(frozen, parts)))
+    unique = absorbed(list(dict.fromkeys(map(frozen, parts))))
     return unique[0] if len(unique) == 1 else ("or", unique)
 
 
+def absorbed(parts: list) -> list:
+    """Without alternatives that ask for all that another one asks for, and more."""
+    asked = [{q} if isinstance(q, str) else set(q[1]) if q[0] == "and" and all(isinstance(x, str) for x in q[1]) else None for q in parts]
+    more = lambda a, i, b, j: a is not None and b is not None and (b < a or (b == a and j < i))
+    return [q for i, (q, a) in enumerate(zip(parts, asked, strict=True)) if not any(more(a, i, b, j) for j, b in enumerate(asked))]
+
+
 def frozen(q):
     return q if isinstance(q, str) else (q[0], tuple(q[1]))
 
@@ -88,56 +94,140 @@ def one_of(a: Part, b: Part) -> Part:
     return Part(None, a.starts | b.starts, a.ends | b.ends, either(a.need, b.need))
 
 
-def characters(items) -> frozenset[str] | None:
-    out = set()
-    for op, arg in items:
-        if op is c.LITERAL:
-            out.add(chr(arg).lower())
-        elif op is c.RANGE and arg[1] - arg[0] < 64:
-            out |= {chr(x).lower() for x in range(arg[0], arg[1] + 1)}
-        else:
-            return None
-    return frozenset(out) if len(out) <= CLASS else None
-
-
-def part(items) -> Part:
-    out = Part(NOTHING, NOTHING, NOTHING)
-    for op, arg in items:
-        if op is c.LITERAL:
-            s = frozenset([chr(arg).lower()])
-            p = Part(s, s, s)
-        elif op is c.IN and (s := characters(arg)) is not None:
-            p = Part(s, s, s)
-        elif op is c.SUBPATTERN:
-            p = part(arg[-1])
-        elif op is c.BRANCH:
-            p = None
-            for x in arg[1]:
-                p = part(x) if p is None else one_of(p, part(x))
-        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
-            low, high, body = arg
-            own = part(body)
-            if (low, high) == (0, 1):
-                p = one_of(own, Part(NOTHING, NOTHING, NOTHING))
-            elif low == 0:
-                p = ANY
+EMPTY = Part(NOTHING, NOTHING, NOTHING)
+TIMES = re.compile(r"\{(\d+)(,?)(\d*)\}")
+WORD_ESCAPES = "bBAZz"  # match between characters
+CONTROLS = {"t": "\t", "n": "\n", "r": "\r", "f": "\f", "v": "\v"}
+
+
+def strings(chars) -> Part:
+    """One of these characters, lower-cased; unknown if they are many, or not ASCII."""
+    low = frozenset(x.lower() for x in chars)
+    return Part(low, low, low) if 0 < len(low) <= CLASS and all(x.isascii() for x in low) else ANY
+
+
+class Reader:
+    """Reads a regular expression from left to right. What it doesn't know counts as anything."""
+
+    def __init__(self, regex: str):
+        self.regex, self.at = regex, 0
+
+    def peek(self) -> str:
+        return self.regex[self.at : self.at + 1]
+
+    def take(self, n: int = 1) -> str:
+        self.at += n
+        return self.regex[self.at - n : self.at]
+
+    def alternatives(self) -> Part:
+        out = self.sequence()
+        while self.peek() == "|":
+            self.take()
+            out = one_of(out, self.sequence())
+        return out
+
+    def sequence(self) -> Part:
+        out = EMPTY
+        while self.peek() and self.peek() not in "|)":
+            out = joined(out, self.repeated(self.one()))
+        return out
+
+    def repeated(self, own: Part) -> Part:
+        while self.peek() and self.peek() in "*+?{":
+            if self.peek() == "{":
+                times = TIMES.match(self.regex, self.at)
+                if not times:
+                    return joined(own, self.one())
+                self.at = times.end()
+                low = int(times[1])
+                high = (int(times[3]) if times[3] else None) if times[2] else low
             else:
-                p = own
-                for _ in range(min(low, 3) - 1):
-                    p = joined(p, own)
-                if low != high or low > 3:  # more of the same may stand between its start and its end
-                    p = Part(None, loose(p).starts, loose(own).ends, loose(p).need)
-        elif op is c.AT:
-            continue
-        else:
-            p = ANY
-        out = joined(out, p)
-    return out
+                low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}[self.take()]
+            if self.peek() and self.peek() in "?+":  # lazy and possessive ones match the same strings, or fewer
+                self.take()
+            own = self.times(own, low, high)
+        return own
+
+    @staticmethod
+    def times(own: Part, low: int, high: int | None) -> Part:
+        if (low, high) == (0, 1):
+            return one_of(own, EMPTY)
+        if high == 0:
+            return EMPTY
+        if low == 0:
+            return ANY
+        out = own
+        for _ in range(min(low, 3) - 1):
+            out = joined(out, own)
+        if low == high and low <= 3:
+            return out
+        return Part(None, loose(out).starts, loose(own).ends, loose(out).need)  # more of the same may stand in between
+
+    def one(self) -> Part:
+        c = self.take()
+        if c == "(":
+            return self.group()
+        if c == "[":
+            return strings(self.members() or ())
+        if c == "\\":
+            if self.peek() and self.peek() in WORD_ESCAPES:
+                self.take()
+                return EMPTY
+            x = self.escape()
+            return ANY if x is None else strings(x)
+        return EMPTY if c in "^$" else ANY if c == "." else strings(c)
+
+    def group(self) -> Part:
+        around = False
+        if self.peek() == "?":
+            self.take()
+            kind = self.take()
+            if kind in "=!" or (kind == "<" and self.peek() in ("=", "!")):
+                around = True
+                self.take(kind == "<")
+            elif kind in "P<":
+                self.at = self.regex.index(">", self.at) + 1
+            elif kind not in ":>":  # flags, for all that follows or for a group
+                while self.peek() not in (":", ")"):
+                    self.take()
+                if self.peek() == ":":
+                    self.take()
+        own = self.alternatives()
+        self.take()
+        return EMPTY if around else own
+
+    def escape(self) -> str | None:
+        """The character that an escape stands for, if it is one."""
+        c = self.take()
+        if c in "xu":
+            return chr(int(self.take(2 if c == "x" else 4), 16))
+        return CONTROLS.get(c) or (None if c.isalnum() else c)
+
+    def members(self) -> set[str] | None:
+        """The characters of a class, or None."""
+        out: set[str] | None = set()
+        if self.peek() == "^":
+            self.take()
+            out = None
+        first = True
+        while first or self.peek() != "]":
+            first = False
+            c = self.take()
+            low = self.escape() if c == "\\" else c
+            high = low
+            if self.peek() == "-" and self.regex[self.at + 1 : self.at + 2] != "]":
+                self.take()
+                c = self.take()
+                high = self.escape() if c == "\\" else c
+            if out is not None:
+                out = None if low is None or high is None or ord(high) - ord(low) >= 64 else out | set(map(chr, range(ord(low), ord(high) + 1)))
+        self.take()
+        return out
 
 
 def query(regex: str):
     """The query of a regular expression in the syntax that Python and Java share."""
-    return loose(part(parser.parse(regex))).need
+    return loose(Reader(regex).alternatives()).need
 
 
 def trigrams(q) -> set[str]:

@@ -75,11 +75,28 @@ def test_trigrams(regex, want):
     assert found == want or found >= want > set()
 
 
+def test_alternatives_that_ask_for_more_are_dropped():
+    assert trigrams.query("abcd?") == "abc" and trigrams.frozen(trigrams.query("(token|secret)['\"]? *=")) == ("or", (("and", ("sec", "ecr", "cre", "ret")), ("and", ("tok", "oke", "ken"))))
+
+
+def test_texts_that_move_do_not_change_results(spark):
+    data = [(i, TEXTS[i % len(TEXTS)]) for i in range(200)] + [(None, t) for t in TEXTS]
+    want = sorted((row(*d) for d in data), key=repr)
+    for most_bits in (1 << 15, m.MOST_BITS):
+        out = m.scanned(odd(spark, data), most_bits=most_bits)
+        assert sorted(((r.doc_id, m_line(r._spans)) for r in out.collect()), key=repr) == sorted(((w[0], w[-1]) for w in want), key=repr)
+
+
+def m_line(found):
+    return ",".join(f"{z.kind}:{z.start}:{z.end}" for z in found)
+
+
 def test_rules_have_mandatory_trigrams():
     assert {r.kind: trigrams.query(r.regex) is not True for r in m.RULES} == {"assign": True, "access": True, "hex": False, "private_key": True, "github": True}
 
 
-REGEXES = [r.regex for r in m.RULES] + ["(abc|de?f)+[xy]z{2,3}", "a(b|cd){2}e", "foo[0-9]{3}bar?", "^(the|an?) [a-d]og$"]
+REGEXES = [r.regex for r in m.RULES] + ["(?:abc){1,2}d", "(?i)ab+cde", "x(?=abc)ab[c]de", r"a\.b\x20c\td", "[]a]bcd[^x]ef", "ab{0}cde", "(?P<n>abc)|d{3,}e+?f", r"\bword\b", "(|abc)def", "a{2}b{4}c",
+    "(abc|de?f)+[xy]z{2,3}", "a(b|cd){2}e", "foo[0-9]{3}bar?", "^(the|an?) [a-d]og$"]
 
 
 @settings(max_examples=60, deadline=None)
