@@ -7,30 +7,52 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import stored
 
+#: A key with more than this part of all rows, and LEAST rows, is heavy: fewer than HEAVY keys are.
+HEAVY = 2000
+LEAST = 100
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, heavy: DataFrame, name: str, value: str) -> DataFrame:
+    """rows with column `name`: the value that table has for their key, null if it has none. Rows of the heavy keys, of which
+    there are few, find it in a broadcast table; only those of other keys, none of which has many, are shuffled by it."""
+    few = F.broadcast(heavy.select(F.col("u").alias("_k"), F.col(value).alias("_few")))
+    most = table.join(F.broadcast(heavy.select(F.col("u").alias("_h"))), F.col("u") == F.col("_h"), "left_anti").select(F.col("u").alias("_k"), F.col(value).alias(name))
+    marked = rows.join(few, F.col(key) == F.col("_k"), "left").drop("_k")
+    columns = [*rows.columns, name]
+    own = marked.where("_few IS NOT NULL").withColumnRenamed("_few", name).select(*columns)
+    rest = marked.where("_few IS NULL").drop("_few").join(most, F.col(key) == F.col("_k"), "left").select(*columns)
+    return own.unionByName(rest)
+
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root (the smallest node reached) of all nodes of edges (u, v).
 
     Each round hooks every node to its smallest neighbour, if smaller than itself, and replaces edges by those
-    between the hooks; their number at least halves in expectation. Minima are combined on the map side, so
-    a node of many edges is no burden. Tables of a round are written to the shared folder."""
+    between the hooks; their number at least halves in expectation. Minima are combined on the map side, and the few nodes that
+    have a large part of all edges, or are the root of a large part of all nodes, are looked up in a broadcast table, so that
+    a node of very many edges burdens no task. Tables of a round are written to the shared folder."""
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     roots = None
     while True:
         both = e.where("u != v").unionByName(e.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hooks = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("to"))
+        hooks = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("to"), "degree")
         hooks = stored(hooks, f"{name}-hooks")
+        ends = hooks.agg(F.sum("degree").alias("n")).first().n or 0
         if roots is None:
             loops = e.where("u = v").select(F.col("u").alias("node")).distinct()
             roots = hooks.select(F.col("u").alias("node"), F.col("to").alias("root")).unionByName(
                 loops.join(hooks, F.col("node") == F.col("u"), "left_anti").select("node", F.col("node").alias("root"))
             )
-        else:
-            roots = roots.join(hooks, F.col("root") == F.col("u"), "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots = stored(roots, f"{name}-roots")
-        if hooks.isEmpty():
+            roots = stored(roots, f"{name}-roots")
+        elif ends:
+            sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+            large = sizes.where(F.col("n") > max(LEAST, roots.count() // HEAVY)).select("root")
+            heavy = hooks.join(F.broadcast(large), F.col("u") == F.col("root"), "left_semi")
+            found = looked_up(roots, "root", hooks, heavy, "_to", "to")
+            roots = stored(found.select("node", F.coalesce("_to", "root").alias("root")), f"{name}-roots")
+        if not ends:
             return roots
-        a = hooks.select(F.col("u").alias("_u"), F.col("to").alias("a"))
-        b = hooks.select(F.col("u").alias("_v"), F.col("to").alias("b"))
-        e = e.where("u != v").join(a, F.col("u") == F.col("_u")).join(b, F.col("v") == F.col("_v"))
-        e = stored(e.where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), f"{name}-edges")
+        heavy = hooks.where(F.col("degree") > max(LEAST, ends // HEAVY))
+        e = looked_up(e.where("u != v"), "u", hooks, heavy, "a", "to")
+        e = looked_up(e, "v", hooks, heavy, "b", "to").where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+        e = stored(e.distinct(), f"{name}-edges")

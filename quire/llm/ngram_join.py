@@ -1,14 +1,16 @@
 """Similarity join on word n-gram sets: which documents link at a Jaccard similarity of PERCENT or more.
 
-1. Each text becomes its set of n-gram hashes (64 bits). Equal sets are one *set* from here on, named by a hash.
+1. Each text becomes its set of n-gram hashes (64 bits). Equal sets are one *set* from here on, named by half of a 128-bit
+   digest; where different sets share that half, by the other half.
 2. Count vectors: the n-grams of a set, hashed into groups, give a point of group counts. Two sets can share no more
    than the summed minima of their coordinates; an R-tree over the points, whose boxes keep the largest coordinates
    and the range of sizes, finds the points whose bound is high enough.
 3. One R-tree over a corpus would have to open nearly all its boxes (texts of one size have similar counts), so points
    are dealt to many trees: sets that link share one of their rarest tenth of n-grams (prefix filter, exact), and all
    sets with such an n-gram in common form a block with a tree of its own. Rarity is counted over all documents, in a
-   table of BUCKETS counters; any order would do for right results. An n-gram that may be in very many sets isn't
-   searched: its sets of similar size are joined as they are, as candidates. The larger the sets, the weaker is the
+   table of BUCKETS counters; any order would do for right results. n-grams with a counter above HOT are counted
+   one by one, and those that are in more than HOT texts aren't searched: their sets of similar size are joined as they are, as
+   candidates. So a block holds HOT sets at most, whatever the corpus. The larger the sets, the weaker is the
    bound, so large sets are split by hash into shares of SHARE to 4 SHARE n-grams, with points and rarest tenths
    of their own: if two sets link, at least one share of theirs is as similar as the whole.
 4. Blocks give candidate families: components under the bound, found from a spanning forest for each block, never from
@@ -25,6 +27,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -55,7 +58,8 @@ WORDS_KEPT = 200_000
 CHUNK_ROWS = 250
 CHUNK_BYTES = 1 << 20
 LONGEST_KEPT = 64
-BASE = "kind int, doc_id long, n long, set_id long, data binary"
+BASE = "kind int, doc_id long, n long, set_id long, other long, data binary"
+ID_BITS = 64
 KEYS = "hot boolean, key long, set_id long, size long, v0 long, v1 long"
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -139,8 +143,22 @@ def slices(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
     _WORDS.clear()
 
 
-def set_id(h: np.ndarray) -> int:
-    return int.from_bytes(blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+def halves(h: np.ndarray, id_bits: int = ID_BITS) -> tuple[int, int]:
+    """The two halves of a set's digest; id_bits: of the first one that are used."""
+    d = blake2b(h.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True) >> (64 - id_bits), int.from_bytes(d[8:], "little", signed=True)
+
+
+@dataclass(frozen=True)
+class Names:
+    """How sets are named: by the first half of the digest, or by the second where the first stands for several sets."""
+
+    id_bits: int = ID_BITS
+    clashes: frozenset[int] = frozenset()
+
+    def of(self, h: np.ndarray) -> int:
+        a, b = halves(h, self.id_bits)
+        return b if a in self.clashes else a
 
 
 def vector(h: np.ndarray, groups: int) -> np.ndarray:
@@ -210,9 +228,9 @@ def forest(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, verify: Cal
 # Step 1: sets, and how frequent n-grams are
 
 
-def based(docs: DataFrame, n: int) -> DataFrame:
+def based(docs: DataFrame, n: int, id_bits: int = ID_BITS) -> DataFrame:
     """BASE: a row of kind 0 for each document; rows of kind 1 hold slices of each task's table of counters."""
-    kinds = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("data", pa.binary())])
+    kinds = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("other", pa.int64()), ("data", pa.binary())])
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -220,14 +238,15 @@ def based(docs: DataFrame, n: int) -> DataFrame:
         for batch in slices(batches, 1):
             h, at = hashed(batch.column(1).to_pylist(), n)
             ns = np.diff(at)
-            sets = [set_id(h[s:e]) if e > s else None for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            sets = [halves(h[s:e], id_bits) if e > s else (None, None) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            first, second = zip(*sets, strict=True) if sets else ((), ())
             counts += np.bincount((h >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64), minlength=BUCKETS)
             some = True
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), batch.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.int64()), pa.nulls(len(ns), pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), batch.column(0), pa.array(ns, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.nulls(len(ns), pa.binary())], schema=kinds)
         if some:
             c = zstandard.ZstdCompressor(level=1)
             data = [c.compress(x.tobytes()) for x in np.split(counts, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.array(data, pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(data, pa.binary())], schema=kinds)
 
     return docs.mapInArrow(make, BASE)
 
@@ -278,13 +297,12 @@ def shared_out(sizes: np.ndarray, percent: int, other: bool) -> np.ndarray:
     return np.where(low != own, low, np.where(high != own, high, 0))
 
 
-def keyed(docs: DataFrame, counts: np.ndarray, n: int, percent: int, hot: int) -> DataFrame:
+def keyed(docs: DataFrame, counts: np.ndarray, n: int, percent: int, hot: int, names: Names = Names()) -> DataFrame:
     """KEYS: for each set the rarest n-grams of which it must share one with whatever it links with."""
-    # 1 to 32 for a counter's bit length; counters above `most` are those of n-grams that may be in very many sets
-    most = max(hot, int(8 * counts.mean()))
-    rank = np.frompyfunc(lambda x: int(x).bit_length(), 1, 1)(counts).astype(np.uint64) | (counts > most).astype(np.uint64) << np.uint64(5)
+    # 1 to 32 for a counter's bit length; counters above `hot` may be those of n-grams that are in very many sets
+    rank = np.frompyfunc(lambda x: int(x).bit_length(), 1, 1)(counts).astype(np.uint64) | (counts > hot).astype(np.uint64) << np.uint64(5)
     frequency = docs.sparkSession.sparkContext.broadcast(rank.astype(np.uint8))
-    names = [f.split()[0] for f in KEYS.split(", ")]
+    columns_ = [f.split()[0] for f in KEYS.split(", ")]
     types = [pa.bool_(), *[pa.int64()] * 5]
     least = -(-percent // max(1, 100 - percent))  # smaller sets link with equal ones only
 
@@ -305,7 +323,7 @@ def keyed(docs: DataFrame, counts: np.ndarray, n: int, percent: int, hot: int) -
         key, own = key[order], share[order]
         v = np.ascontiguousarray(c).view("<i8")
         columns = [key >> np.uint64(63) == 1, key.view(np.int64), np.repeat(ids, split)[own], (n + (shift << 48))[own], v[own, 0], v[own, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(columns, types, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(columns, types, strict=True)], names=columns_)
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -315,7 +333,7 @@ def keyed(docs: DataFrame, counts: np.ndarray, n: int, percent: int, hot: int) -
             if not some.any():
                 continue
             h, size = h[np.repeat(some, sizes)], sizes[some]
-            ids = np.array([set_id(h[s : s + k]) for s, k in zip((np.cumsum(size) - size).tolist(), size.tolist(), strict=True)], np.int64)
+            ids = np.array([names.of(h[s : s + k]) for s, k in zip((np.cumsum(size) - size).tolist(), size.tolist(), strict=True)], np.int64)
             yield one(h, size, ids, shared_out(size, percent, False))
             also = shared_out(size, percent, True)
             if also.any():
@@ -374,22 +392,27 @@ def block_edges(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def candidate_edges(keys: DataFrame, percent: int) -> DataFrame:
+def candidate_edges(keys: DataFrame, percent: int, hot: int) -> DataFrame:
     """u, v: between sets that may link, or, for very frequent n-grams, between a set and a node for the n-gram and
-    a range of sizes. Each set joins the ranges before and after its own half-way, so that sets that may link meet."""
-    cold = keys.where("not hot").select("key", "set_id", "size", "v0", "v1").repartition("key").sortWithinPartitions("key")
-    near = cold.mapInArrow(lambda it: block_edges(it, percent), "u long, v long")
+    a range of sizes. Each set joins the ranges before and after its own half-way, so that sets that may link meet.
+    Rows of a frequent n-gram are looked up and dealt by salt, never in one task."""
+    columns = ["key", "set_id", "size", "v0", "v1"]
+    unsure = keys.where("hot").withColumn("salt", salt_of("set_id", salts=SALTS))
+    many = stored(unsure.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "join-frequent")
+    salted = many.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    cold = keys.where("not hot").select(*columns).unionByName(unsure.join(salted, ["key", "salt"], "left_anti").select(*columns))
+    near = cold.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: block_edges(it, percent), "u long, v long")
     n = F.col("size").bitwiseAND(F.lit((1 << 48) - 1))
     tile = F.floor(F.log(n.cast("double")) / float(np.log(100 / percent))).cast("long")
     tiles = F.explode(F.array(tile, tile + 1))
-    virtual = keys.where("hot").select("key", F.col("set_id").alias("u"), tiles.alias("tile")).select("u", F.xxhash64("key", "tile", F.lit("tile")).alias("v"))
-    return near.unionByName(virtual).distinct()
+    virtual = unsure.join(salted, ["key", "salt"], "left_semi").select("key", F.col("set_id").alias("u"), tiles.alias("tile"))
+    return near.unionByName(virtual.select("u", F.xxhash64("key", "tile", F.lit("tile")).alias("v"))).distinct()
 
 
 # Step 4b: verification
 
 
-def whole_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+def whole_sets(docs: DataFrame, members: DataFrame, n: int, names: Names = Names()) -> DataFrame:
     """members (set_id, doc_id and others) without doc_id, with n and data: the hashes of each set, from the text of one of
     its documents. Texts that can't be wanted stay where they are: the wanted ones' hash buckets, FILTER at most, are
     broadcast. Where a doc_id and its text repeat, so does the set."""
@@ -401,7 +424,7 @@ def whole_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
             out = []
             for text, want, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = shingles(text, n)
-                if len(h) and set_id(h) == want:
+                if len(h) and names.of(h) == want:
                     out.append((want, *rest, len(h), h.tobytes()))
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
@@ -474,22 +497,32 @@ def family_links(sets: DataFrame, percent: int, family: int) -> DataFrame:
 # All together
 
 
-def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = HOT, family: int = FAMILY) -> DataFrame:
+def gathered(rows: DataFrame) -> DataFrame:
+    """set_id, doc_id (the smallest), salts, low, high (of `other`) of rows (doc_id, set_id, other, salt)."""
+    cells = rows.where("set_id is not null").groupBy("set_id", "salt").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("low"), F.max("other").alias("high"))
+    salts = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+    return cells.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), salts, F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = HOT, family: int = FAMILY, id_bits: int = ID_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stored(based(own, n), "join-base")
-    rows = base.where("kind = 0").select("doc_id", "n", "set_id").withColumn("salt", salt_of("doc_id", salts=SALTS))
-    cells = rows.where("set_id is not null").groupBy("set_id", "salt").agg(F.min("doc_id").alias("doc_id"))
-    sets = cells.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
-    sets = stored(sets, "join-sets")
+    base = stored(based(own, n, id_bits), "join-base")
+    rows = base.where("kind = 0").select("doc_id", "n", "set_id", "other").withColumn("salt", salt_of("doc_id", salts=SALTS))
+    sets = stored(gathered(rows), "join-sets")
+    names = Names(id_bits, frozenset(r.set_id for r in sets.where("low != high").select("set_id").collect()))  # of 2^64 ids, those of two sets
+    if names.clashes:
+        rows = rows.withColumn("set_id", F.when(F.col("set_id").isin(list(names.clashes)), F.col("other")).otherwise(F.col("set_id")))
+        sets = stored(gathered(rows), "join-sets")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(20 * BATCH_ROWS))
-    near = stored(candidate_edges(keyed(own, counters(base), n, percent, hot), percent), "join-candidates")
+    keys = stored(keyed(own, counters(base), n, percent, hot, names), "join-keys")
+    near = stored(candidate_edges(keys, percent, hot), "join-candidates")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     families = components(near, "join-families")
     members = sets.join(families, F.col("set_id") == F.col("node")).select("set_id", "doc_id", F.col("root").alias("comp"))
     members = stored(members, "join-family")
-    full = stored(whole_sets(own, stored(parted(members, family), "join-parts"), n), "join-whole")
+    full = stored(whole_sets(own, stored(parted(members, family), "join-parts"), n, names), "join-whole")
     found = stored(family_links(full, percent, family), "join-found")
     roots = components(found, "join-roots")
     linked = sets.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))

@@ -160,3 +160,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 300), (300, 200), (7, 7), (500, 500)] + [(1000, 2000 + i) for i in range(50)]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert out == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100, 500: 500, 1000: 1000} | {2000 + i: 1000 for i in range(50)}
+
+
+@pytest.mark.parametrize("id_bits", [64, 6, 1])
+def test_sets_that_share_a_name_are_told_apart(spark, id_bits):
+    data = near(5, 6, 12)
+    assert got(m.joined(odd(spark, data), id_bits=id_bits)) == brute(data)
+
+
+def test_components_of_heavy_nodes(spark):
+    edges = [(0, i) for i in range(1, 900)] + [(5000 + i, 4000) for i in range(700)] + [(899, 5000)] + [(9000 + i, 9001 + i) for i in range(300)]
+    out = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert out == {i: 0 for i in [*range(900), 4000, *range(5000, 5700)]} | {9000 + i: 9000 for i in range(301)}
