@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting is absent (tests)."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one, on a local master only (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(shutil.rmtree, root, ignore_errors=True)
@@ -37,12 +39,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 _MADE: list[str] = []
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Deletes the tables that operators of this session wrote to the shared folder. Call it when their results are
-    no longer needed: DataFrames that they return read these tables."""
+def mark() -> int:
+    """How many tables this session has made, for cleanup of those made later."""
+    return len(_MADE)
+
+
+def cleanup(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Deletes the tables that operators of this session wrote to the shared folder since a mark, but for the last
+    ones. Call it when their results are no longer needed: DataFrames that they return read these tables."""
     jvm = spark.sparkContext._jvm
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    gone = _MADE[since : len(_MADE) - but]
+    del _MADE[since : len(_MADE) - but]
+    for path in map(jvm.org.apache.hadoop.fs.Path, gone):
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -89,6 +97,14 @@ def ranked(df: DataFrame, name: str, group: list[str], order: list[str], buckets
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._own") + F.col("o._before")).cast("long").alias(name))
 
 
+def sliced_batches(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most. Spark bounds a batch's bytes (64 MB by default); this bounds what
+    is made from one at a time, whatever a session sets."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def runs(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
     """Tables of whole groups of sorted batches: each holds one or more groups, all of their rows."""
     held: list[pa.RecordBatch] = []

@@ -10,8 +10,10 @@ boundary. A language contains an n-gram if it is frequent enough in it (LEAST, S
 The filters are learned from a bounded sample, of about SAMPLE documents a language, chosen by a hash of doc_id among
 the rows that may be learned from. What is collected and broadcast has SLOTS x languages bits.
 
-A filtering stage (`accepted`) rejects a text without letters, and one whose best language holds less than KNOWN of its
-n-grams: it is in no language that was learned. Texts of fewer than ENOUGH n-grams are too short to be rejected so.
+A filtering stage (`accepted`) rejects a text without letters, and one whose best language holds too few of its
+n-grams: it is in no language that was learned. Too few are less than KNOWN, or than half of what all but a hundredth of
+one half of the sample have in a model of the other half, if that is less: with little to learn from, little is rejected. Texts of fewer than ENOUGH n-grams are too short
+to be rejected so.
 
 Defined cases: null texts and texts without letters are `und` with score 0; texts with no n-gram of a language get the
 most frequent language and its share; null languages and doc_ids are never learned from; repeated rows are
@@ -21,14 +23,14 @@ separate rows; an empty table gives no rows; with nothing to learn from, all is
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import sliced_batches, table
 
 N = 4
 HASHES = 2
@@ -52,6 +54,7 @@ class Model:
     false_positives: np.ndarray
     most: int
     prior: float
+    least_share: float = KNOWN
 
 
 _FOLD: list[np.ndarray] = []
@@ -112,7 +115,7 @@ def counted(docs: DataFrame) -> DataFrame:
     """lang, gram, n of docs (lang, text)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced_batches(batches, BATCH_ROWS):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
@@ -152,20 +155,30 @@ def sliced(kept: DataFrame, number: dict[str, int]) -> DataFrame:
     return rows.mapInArrow(set_bits, "word long, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
 
 
-def learned(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, share: float = SHARE) -> Model:
-    """A model of docs (doc_id, text, lang), from the rows that may be learned from."""
+def sampled(docs: DataFrame, sample: int) -> tuple[DataFrame, dict[str, int]]:
+    """text, lang, half of the sample of docs (doc_id, text, lang), and the rows of each language that it is from."""
     own = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(trainable(docs))
     known = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    chosen = F.lit(False)
+    for lang, n in known.items():
+        cut = min(1.0, sample / n)
+        chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(cut * (1 << 30))))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    return own.where(chosen).repartition(8, "doc_id").select("text", "lang", half.alias("half")), known
+
+
+def learned(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, share: float = SHARE) -> Model:
+    """A model of docs (doc_id, text, lang), from the rows that may be learned from."""
+    return model_of(*sampled(docs, sample), least, share)
+
+
+def model_of(rows: DataFrame, known: dict[str, int], least: int = LEAST, share: float = SHARE) -> Model:
     languages = tuple(sorted(known))
     words = max(1, -(-len(languages) // 64))
     filters = np.zeros((words, SLOTS), np.uint64)
     if not languages:
         return Model((), filters, np.zeros(0), 0, 0.0)
-    chosen = F.lit(False)
-    for lang, n in known.items():
-        cut = min(1.0, sample / n)
-        chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(cut * (1 << 30))))
-    counts = counted(own.where(chosen).repartition(8, "doc_id"))
+    counts = counted(rows)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("n") >= least)
     entries = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate")).alias("by"))
@@ -207,9 +220,9 @@ def decided(texts: list[str], model: Model) -> list[tuple[str, float, bool]]:
         if not letters[k]:
             out.append((UNKNOWN, 0.0, False))
         elif not total[k]:
-            out.append((model.languages[model.most], model.prior, bool(counts[k] < ENOUGH)))
+            out.append((model.languages[model.most], model.prior, bool(counts[k] < ENOUGH or not model.least_share)))
         else:
-            known = counts[k] < ENOUGH or own[k, best[k]] >= KNOWN
+            known = counts[k] < ENOUGH or own[k, best[k]] >= model.least_share
             out.append((model.languages[best[k]], float(own[k, best[k]] / total[k]), bool(known)))
     return out
 
@@ -221,15 +234,14 @@ def narrow(filters: np.ndarray, languages: int) -> np.ndarray:
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs with columns lang_pred, score and known after those of docs."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    small = Model(model.languages, narrow(model.filters, len(model.languages)), model.false_positives, model.most, model.prior)
+    small = replace(model, filters=narrow(model.filters, len(model.languages)))
     shared = spark.sparkContext.broadcast(small)
     at = docs.columns.index("text")
     kept = [f"c{i}" for i in range(len(docs.columns))]
     schema = ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(kept, docs.schema, strict=True))
 
     def identify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced_batches(batches, BATCH_ROWS):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             out = [x for part in chunks(texts) for x in decided(part, shared.value)]
             added = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())]
@@ -247,11 +259,29 @@ def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def least_share(rows: DataFrame, model: Model) -> float:
+    """The share of a text's n-grams below which it is in no known language, from rows (text) that the model hasn't seen."""
+    shared = rows.sparkSession.sparkContext.broadcast(replace(model, filters=narrow(model.filters, len(model.languages))))
+
+    def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced_batches(batches, BATCH_ROWS):
+            for part in chunks(batch.column(0).to_pylist()):
+                own, counts, _ = shares(part, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(own.max(axis=1)[counts >= ENOUGH], pa.float64())], names=["x"])
+
+    low = rows.select("text").mapInArrow(rate, "x double").agg(F.percentile("x", 0.01).alias("low")).first().low
+    return min(KNOWN, (low or 0.0) / 2)
+
+
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with their columns, whose text has letters and may well be in a language that was learned; with
     nothing to learn from, those with letters."""
     columns = [f"c{i}" for i in range(len(docs.columns))]
-    found = identified(docs, learned(docs, sample)).toDF(*columns, "lang_pred", "score", "known")
+    rows, known = sampled(docs, sample)
+    model = model_of(rows, known)
+    if known:
+        model = replace(model, least_share=least_share(rows.where("half = 1"), model_of(rows.where("half = 0"), known)))
+    found = identified(docs, model).toDF(*columns, "lang_pred", "score", "known")
     return found.where("known").select(*columns).toDF(*docs.columns)
 
 

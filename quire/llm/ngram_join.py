@@ -53,7 +53,6 @@ FAMILY = 400
 LEAF = 16
 FILTER = 1 << 18
 SALTS = 48
-BATCH_ROWS = 500
 WORDS_KEPT = 200_000
 CHUNK_ROWS = 250
 CHUNK_BYTES = 1 << 20
@@ -506,7 +505,6 @@ def gathered(rows: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = HOT, family: int = FAMILY, id_bits: int = ID_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = stored(based(own, n, id_bits), "join-base")
     rows = base.where("kind = 0").select("doc_id", "n", "set_id", "other").withColumn("salt", salt_of("doc_id", salts=SALTS))
@@ -515,10 +513,8 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = HOT,
     if names.clashes:
         rows = rows.withColumn("set_id", F.when(F.col("set_id").isin(list(names.clashes)), F.col("other")).otherwise(F.col("set_id")))
         sets = stored(gathered(rows), "join-sets")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(20 * BATCH_ROWS))
     keys = stored(keyed(own, counters(base), n, percent, hot, names), "join-keys")
     near = stored(candidate_edges(keys, percent, hot), "join-candidates")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     families = components(near, "join-families")
     members = sets.join(families, F.col("set_id") == F.col("node")).select("set_id", "doc_id", F.col("root").alias("comp"))
     members = stored(members, "join-family")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import byte_bpe
-from quire.llm.common import new_path, ranked, table
+from quire.llm.common import new_path, ranked, sliced_batches, table
 
 CAPACITY = 2048
 END = 0
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = byte_bpe.encoder(path, added=True)
         end = np.uint32(END).tobytes()
-        for batch in batches:
+        for batch in sliced_batches(batches, BATCH_ROWS):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = code(text or "") + end
@@ -157,7 +157,6 @@ def sequences(found: DataFrame, where: DataFrame) -> DataFrame:
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs (doc_id, text)."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     found = stored_pieces(docs, path, capacity)
     return placed(sized(found), capacity)
 

@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import sliced_batches, table
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
@@ -192,11 +192,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in sliced_batches(batches, BATCH_ROWS):
             ids = m.encode([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(encode, ENCODED)
 
@@ -206,7 +205,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in sliced_batches(batches, BATCH_ROWS):
             texts = [m.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, table
+from quire.llm.common import sliced_batches, stored, table
 
 SAMPLE = 12_000
 PRIOR = 500.0
@@ -150,7 +150,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
     one document repeats says no more than once."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced_batches(batches, BATCH_ROWS):
             by = (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by[toxic].update({f for t in set(LETTERS.findall(text.lower())) for f in features(t)})
@@ -181,7 +181,7 @@ def score_counts(rows: DataFrame, model: Model) -> DataFrame:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(shared.value)
-        for batch in batches:
+        for batch in sliced_batches(batches, BATCH_ROWS):
             found = [token_scores(t, words) for t in batch.column(0).to_pylist()]
             v, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.float32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.float32()), pa.array(n, pa.int64())], names=["value", "n"])
@@ -220,7 +220,6 @@ def curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> t
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float = PRIOR, drift: float = DRIFT) -> Model:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     rows, parts = sampled(docs, labels, sample)
     total = sum(n for n, _ in parts.values())
     share = parts.get(1, (0, 0))[0] / total if total else 0.0
@@ -255,7 +254,7 @@ def with_segments(rows: DataFrame, model: Model, one, kind: pa.DataType, name: s
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         words = model.words.setdefault("", Words(model))
-        for batch in batches:
+        for batch in sliced_batches(batches, BATCH_ROWS):
             out = []
             for text in batch.column(at).to_pylist():
                 own = token_scores(text or "", words)

@@ -403,7 +403,6 @@ def base_columns(records: DataFrame) -> list[Column]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a batch may hold 64 archives or pages
     archives = stored(write(table(spark, sf_dir, "pages")), "warc")
     records = read(archives, payloads=False, strict=True)
     return records.select(*base_columns(records))

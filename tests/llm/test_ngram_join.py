@@ -21,8 +21,8 @@ def grams(text, n=3):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
 
 
-def brute(data, percent=90):
-    sets = [grams(t) for _, t in data]
+def brute(data, percent=90, n=3):
+    sets = [grams(t, n) for _, t in data]
     distinct = sorted({s for s in sets if s}, key=len)
     root = {s: s for s in distinct}
 

@@ -22,12 +22,13 @@ def mask(text):
 
 
 def expected(data):
+    """With texts that are all in a learned language."""
     docs = [(i, t) for i, t in data if t and any(c.isalpha() for c in t)]
     last = {}
     for i, t in docs:
         last[t] = max(i, last.get(t, i))
     docs = [(i, t) for t, i in last.items()]
-    first = {c for _, _, c in joins.brute(docs)}
+    first = {c for _, _, c in joins.brute(docs, m.PERCENT, m.WORDS)}
     return [(i, mask(t)) for i, t in docs if i in first]
 
 
@@ -60,5 +61,23 @@ def test_odd_rows(spark):
     assert all(x.count() == 0 for x in run(spark, odd(spark, [])))
 
 
-def test_run_starts(spark, sf):
-    assert set(m.run(spark, sf).columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+def test_the_prediction_decides(spark):
+    data = [(i, f"the and with this that over number {i} of some words here") for i in range(60)] + [(100, "ප්රකාශයට " * 20), (101, "зачем " * 20)]
+    docs = odd(spark, data[:60]).unionByName(odd(spark, data[60:], lang=None))
+    assert {r.doc_id for r in m.language_stage(spark, docs, "").collect()} == set(range(60))
+
+
+def test_no_languages(spark):
+    docs = odd(spark, [(1, "some words"), (2, None), (3, "12")], lang=None)
+    assert [r.doc_id for r in m.language_stage(spark, docs, "").collect()] == [1]
+
+
+def test_run_leaves_its_own_rows_only(spark, sf):
+    import os
+
+    from quire.llm import common
+
+    before = set(os.listdir(common.shared_dir(spark)))
+    out = m.run(spark, sf)
+    assert len([p for p in os.listdir(common.shared_dir(spark)) if p not in before]) == 1 and out.count() > 0
+    assert set(out.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
