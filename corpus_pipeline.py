@@ -1,9 +1,9 @@
 """A corpus pipeline. Each stage takes all that the stage before it kept; all but the last return the columns of
 documents.
 
-1. language ID: documents in no known language go (`und`: no letters).
+1. language ID: documents go whose text has no letters, or is in no language that was learned.
 2. exact dedup: of equal texts, the document with the largest doc_id stays.
-3. n-gram Jaccard join: of linked documents (at 0.9 of their three-word n-grams), the one with the smallest doc_id stays.
+3. n-gram Jaccard join: of linked documents (at 0.8 of their five-word n-grams), the one with the smallest doc_id stays.
 4. secret scans: secrets are replaced by their kind in brackets, n_chars is made to fit; every document stays.
 5. best-fit packing: a row for each piece, with its sequence and place.
 """
@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import exact_dedup, language_id, ngram_join, packing, secrets
-from quire.llm.common import stored, table
+from quire.llm.common import cleanup, mark, stored, table
+
+#: Near duplicates of stages: five words and a similarity of 0.8 or more.
+WORDS, PERCENT = 5, 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +28,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, WORDS, PERCENT)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), mark()
     for k, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        cleanup(spark, before, but=1)  # only the stage's own rows are read from here on
     return docs
