@@ -1,5 +1,5 @@
-"""HTML functions over columns, as expressions that Catalyst plans. They read the restricted HTML of chapters and web
-pages whose dropped elements are closed and not nested; `markup` has the full state machines."""
+"""HTML functions over columns, as expressions that Catalyst plans. They read HTML whose dropped elements aren't nested in
+their own kind; `markup` has the full state machines."""
 
 from __future__ import annotations
 
@@ -10,27 +10,41 @@ from quire.functions import text as T
 from quire.schema import ALLOWED_TAGS, DROPPED_TAGS
 
 BLOCKS = "p|div|li|h1|h2|h3|h4|h5|h6|blockquote|tr|figcaption|dd|dt"
-#: In this order; the ampersand last, so that what it makes isn't decoded again.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+REFERENCE = r"&(?:#[xX][0-9A-Fa-f]+|#[0-9]+|[A-Za-z]+);"
 
-#: (pattern, replacement) steps that leave a text; the patterns suit Java and RE2.
+#: (pattern, replacement) steps that leave a text. Comments and dropped elements may lack their end.
 STEPS = (
-    (r"(?s)<!--.*?-->", ""),
-    *((rf"(?is)<{t}(?:\s[^>]*)?>.*?</{t}\s*>", "") for t in ("head", "script", "style", "title", "iframe", "object")),
+    (r"(?s)<!--.*?(?:-->|\z)", ""),
+    (rf"(?is)<({'|'.join(DROPPED_TAGS)})(?:\s(?:[^>]*[^/>])?)?>.*?(?:</\1\s*>|\z)", ""),
     (r"<[!?][^>]*>", ""),
-    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)<br(?:\s[^>]*)?/?>", "\n"),
     (rf"(?i)</(?:{BLOCKS})\s*>", "\n"),
-    (r"<[^>]*>", ""),
+    (r"</?[A-Za-z][^>]*>", ""),
 )
 
 
+def decode_reference(r: Column) -> Column:
+    """What one reference stands for: a character by number, or one of six by name; any other stays as it is."""
+    number = F.when(F.lower(F.substring(r, 3, 1)) == "x", F.conv(F.substring(r, 4, 20), 16, 10)).when(F.substring(r, 2, 1) == "#", F.substring(r, 3, 20))
+    n = F.regexp_replace(number, "[^0-9]", "").try_cast("long")
+    valid = (n >= 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair]), F.lower(F.regexp_replace(r, "[&;]", "")))
+    return F.coalesce(F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")), named, r)
+
+
+def decode_entities(text: Column) -> Column:
+    """Each reference decoded once, so that what it makes isn't decoded again."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), 0), decode_reference)
+    both = F.zip_with(F.split(text, REFERENCE, -1), found, lambda piece, own: F.concat(piece, F.coalesce(own, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(both, "")).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
     out = html
     for pattern, by in STEPS:
         out = F.regexp_replace(out, pattern, by)
-    for entity, by in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(by))
-    out = F.regexp_replace(out, r"[ \t\u00A0]+", " ")
+    out = F.regexp_replace(decode_entities(out), r"[ \t\u00A0]+", " ")
     return T.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 

@@ -36,11 +36,13 @@ def preorder(nav: DataFrame) -> DataFrame:
 
 def promoted(nav: DataFrame, targets: DataFrame) -> DataFrame:
     """nav without nodes whose target isn't among targets (book_id, target); their children move to the nearest
-    ancestor that stays. Takes nav with path (see preorder)."""
+    ancestor that stays. Takes nav with path (see preorder); a node meets its ancestors by the beginnings of its path."""
     good = nav.join(targets.select("book_id", "target").distinct().withColumn("_ok", F.lit(True)), ["book_id", "target"], "left")
     kept = good.where("_ok").drop("_ok")
     up = kept.select("book_id", F.col("node_id").alias("_up"), F.col("path").alias("_path"))
-    above = kept.join(up, "book_id", "left").where((F.size("_path") < F.size("path")) & (F.slice("path", 1, F.size("_path")) == F.col("_path")))
+    above = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", 1, n))
+    mine = kept.where(F.size("path") > 1).select("book_id", "node_id", F.explode(above).alias("_path"))
+    above = mine.join(up, ["book_id", "_path"])
     nearest = above.groupBy("book_id", "node_id").agg(F.max_by("_up", F.size("_path")).alias("parent_id"))
     return kept.drop("parent_id").join(nearest, ["book_id", "node_id"], "left")
 

@@ -28,21 +28,25 @@ def joined(value: Column, order: Column, sep: str) -> Column:
 def txt_chapters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ord, chapter_id, title, level, html of plain texts: a heading line opens a chapter, other lines that
     aren't blank become paragraphs, those before the first heading a chapter without title; a text without any is one
-    empty chapter. A document's lines stay in one row of an array, so nothing is shuffled."""
-    rows = F.transform(F.split(T.newlines(F.col(text)), "\n"), lambda line, i: F.struct(i.alias("pos"), T.trim(line).alias("line"), T.is_heading(line).alias("head")))
-    kept = F.filter(rows, lambda r: r["line"] != "")
-    base = docs.select(key, kept.alias("rows"))
-    heads = F.transform(F.filter("rows", lambda r: r["head"]), lambda r: r["pos"])
+    empty chapter. A document's lines stay in one row of an array, so nothing is shuffled; each chapter takes its own slice, so a
+text costs what its lines cost."""
+    rows = F.transform(F.split(T.newlines(F.col(text)), "\n"), lambda line: T.trim(line))
+    rows = F.transform(F.filter(rows, lambda line: line != ""), lambda line: F.struct(line.alias("line"), T.is_heading(line).alias("head")))
+    base = docs.select(key, rows.alias("rows"))
+    heads = F.filter(F.transform("rows", lambda r, i: F.when(r["head"], i)), lambda i: i.isNotNull())
     base = base.withColumn("heads", heads)
-    lead = F.exists("rows", lambda r: ~r["head"] & ((F.size("heads") == 0) | (r["pos"] < F.get("heads", F.lit(0)))))
-    starts = F.when(lead | (F.size("heads") == 0), F.concat(F.array(F.lit(-1)), F.col("heads"))).otherwise(F.col("heads"))
-    base = base.withColumn("starts", starts).select("*", F.posexplode("starts").alias("ord", "start"))
-    end = F.coalesce(F.get("starts", F.col("ord") + 1), F.lit(2147483647))
-    own = F.filter("rows", lambda r: ~r["head"] & (r["pos"] > F.col("start")) & (r["pos"] < end))
-    title = F.get(F.transform(F.filter("rows", lambda r: r["pos"] == F.col("start")), lambda r: r["line"]), F.lit(0))
-    html = F.array_join(F.transform(own, lambda r: F.concat(F.lit("<p>"), T.escape_text(r["line"]), F.lit("</p>"))), "\n")
-    number = (F.col("ord") + 1).alias("ord")
-    return base.select(key, number, F.concat(F.lit("c"), F.col("ord") + 1).alias("chapter_id"), title.alias("title"), F.lit(1).alias("level"), html.alias("html"))
+    none_first = F.coalesce(F.get("heads", F.lit(0)) > 0, F.lit(True))
+    base = base.withColumn("starts", F.when(none_first, F.concat(F.array(F.lit(-1)), "heads")).otherwise(F.col("heads")))
+    paragraph = lambda r: F.concat(F.lit("<p>"), T.escape_text(r["line"]), F.lit("</p>"))
+
+    def chapter(start: Column, i: Column) -> Column:
+        n = F.coalesce(F.get("starts", i + 1), F.size("rows")) - start - 1
+        title = F.when(start >= 0, F.get("rows", start)["line"])
+        return F.struct(title.alias("title"), F.array_join(F.transform(F.slice("rows", start + 2, n), paragraph), "\n").alias("html"))
+
+    out = base.select(key, F.posexplode(F.transform("starts", chapter)).alias("at", "c"))
+    number = F.col("at") + 1
+    return out.select(key, number.alias("ord"), F.concat(F.lit("c"), number).alias("chapter_id"), F.col("c.title").alias("title"), F.lit(1).alias("level"), F.col("c.html").alias("html"))
 
 
 def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

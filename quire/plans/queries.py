@@ -6,57 +6,64 @@ conversations for books (turns are chapters, roles titles), events for lines of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import html as H
 from quire.functions import text as T
 from quire.operators import nav, notices, references, segment
 from quire.operators.variants import converted_column
+from quire.plans.registry import QUERIES, SQL, query, quoted, t
 from quire.schema import ALLOWED_TAGS, DROPPED_TAGS
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+# SQL pieces
 
+SP = T.SPACE_RE2
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
 
-    return add
+def sql_replace(x: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({x}, {quoted(pattern)}, {by if by.startswith('chr') else quoted(by)}, 'g')"
 
 
-def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def sql_trim(x: str) -> str:
+    return sql_replace(x, f"^[{SP}]+|[{SP}]+$", "")
 
 
-def quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+#: Plain text by hand, step by step: what the functions' own tables say isn't used here.
+ENTITY = "&(?:#[xX][0-9A-Fa-f]+|#[0-9]+|[A-Za-z]+);"
+DECODED = r"""CASE WHEN regexp_matches(r, '^&#[xX]0*[0-9A-Fa-f]{1,6};$') AND ('0x' || r[4:-2])::BIGINT < 1114112 THEN chr(('0x' || r[4:-2])::INT)
+WHEN regexp_matches(r, '^&#0*[0-9]{1,7};$') AND r[3:-2]::BIGINT < 1114112 THEN chr(r[3:-2]::INT)
+WHEN lower(r) = '&amp;' THEN '&' WHEN lower(r) = '&lt;' THEN '<' WHEN lower(r) = '&gt;' THEN '>' WHEN lower(r) = '&quot;' THEN '"'
+WHEN lower(r) = '&apos;' THEN '''' WHEN lower(r) = '&nbsp;' THEN chr(160) ELSE r END"""
+DROPPED_RE2 = "|".join(rf"<{x}(?:\s(?:[^>]*[^/>])?)?>.*?(?:</{x}\s*>|\z)" for x in "script style link meta iframe object embed head title".split())
 
 
-# SQL pieces
+def sql_decoded(x: str) -> str:
+    pieces, found = f"string_split_regex({x}, '{ENTITY}')", f"list_transform(regexp_extract_all({x}, '{ENTITY}'), lambda r: {DECODED})"
+    return f"array_to_string(list_transform(list_zip({pieces}, {found}), lambda z: z[1] || coalesce(z[2], '')), '')"
 
-SP = T.SPACE_RE2
 
-
-def sql_replace(x: str, pattern: str, by: str) -> str:
-    return f"regexp_replace({x}, {quoted(pattern)}, {by if by.startswith('chr') else quoted(by)}, 'g')"
+def sql_plain(table: str, key: str, html: str = "html") -> str:
+    """(SELECT key, plain ...): one step a sub-query, so that none is written out twice."""
+    return rf"""(WITH a AS (SELECT {key}, regexp_replace(regexp_replace({html}, '(?s)<!--.*?(?:-->|\z)', '', 'g'), '(?is){DROPPED_RE2}', '', 'g') AS x FROM {table}),
+b AS (SELECT {key}, regexp_replace(regexp_replace(x, '<[!?][^>]*>', '', 'g'), '(?i)<br(?:\s[^>]*)?/?>|</(?:p|div|li|h[1-6]|blockquote|tr|figcaption|dd|dt)\s*>', chr(10), 'g') AS x FROM a),
+c AS (SELECT {key}, regexp_replace(x, '</?[A-Za-z][^>]*>', '', 'g') AS x FROM b),
+d AS (SELECT {key}, {sql_decoded('x')} AS x FROM c),
+e AS (SELECT {key}, regexp_replace(regexp_replace(x, '[ \t\x{{00A0}}]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM d)
+SELECT {key}, {sql_trim('x')} AS plain FROM e)"""
 
 
-def sql_trim(x: str) -> str:
-    return sql_replace(x, f"^[{SP}]+|[{SP}]+$", "")
+#: Pages with what real ones hold besides: references by number and name, an embedded object, a comment without end.
+RICH = """(SELECT page_id, url, html || '<p>&#' || (20013 + page_id % 900) || ';&#x' || printf('%X', 128512 + page_id % 50) || ';&AMP;&lt;b&gt;&amp;lt; &nbsp;&unknown;&#1114112;</p>'
+|| CASE page_id % 4 WHEN 0 THEN '<embed src="x">gone</embed>a' WHEN 1 THEN '<BR class="x"/>b<!-- open' WHEN 2 THEN '<title/>c' ELSE '<script>var x = "</p>"' END AS html FROM pages)"""
 
 
-def sql_plain(x: str) -> str:
-    for pattern, by in H.STEPS:
-        x = sql_replace(x, pattern, "chr(10)" if by == "\n" else by)
-    for entity, by in H.ENTITIES:
-        x = f"replace({x}, {quoted(entity)}, {'chr(160)' if by == chr(160) else quoted(by)})"
-    x = sql_replace(x, r"[ \t\x{00A0}]+", " ")
-    return sql_trim(f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+def rich_pages(spark, sf) -> DataFrame:
+    i, p = F.col("page_id"), t(spark, sf, "pages")
+    more = F.concat(F.lit("<p>&#"), (i % 900 + 20013).cast("string"), F.lit(";&#x"), F.hex(i % 50 + 128512), F.lit(";&AMP;&lt;b&gt;&amp;lt; &nbsp;&unknown;&#1114112;</p>"))
+    ends = ('<embed src="x">gone</embed>a', '<BR class="x"/>b<!-- open', "<title/>c", '<script>var x = "</p>"')
+    end = F.element_at(F.array(*map(F.lit, ends)), (i % 4 + 1).cast("int"))
+    return p.select("page_id", "url", F.concat("html", more, end).alias("html"))
 
 
 def sql_tags(x: str) -> str:
@@ -79,20 +86,24 @@ ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
 # HTML
 
 
-@query(f"SELECT page_id, {sql_plain('html')} AS plain FROM pages")
+@query(f"SELECT page_id, plain FROM {sql_plain(RICH, 'page_id')}")
 def plain_text(spark, sf):
-    return t(spark, sf, "pages").select("page_id", H.plain_text(F.col("html")).alias("plain"))
+    return rich_pages(spark, sf).select("page_id", H.plain_text(F.col("html")).alias("plain"))
 
 
-@query(f"SELECT page_id, length({sql_replace(sql_plain('html'), f'[{SP}]+', '')})::BIGINT AS chars FROM pages")
+UNITS = r"(2 * length(x) - length(regexp_replace(x, '[\x{10000}-\x{10FFFF}]', '', 'g')))"
+
+
+@query(f"SELECT page_id, {UNITS}::BIGINT AS chars FROM (SELECT page_id, {sql_replace('plain', f'[{SP}]+', '')} AS x FROM {sql_plain(RICH, 'page_id')})")
 def character_counts(spark, sf):
-    return t(spark, sf, "pages").select("page_id", H.character_count(F.col("html")).alias("chars"))
+    return rich_pages(spark, sf).select("page_id", H.character_count(F.col("html")).alias("chars"))
 
 
-@query(f"SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS pages, sum(length({sql_replace(sql_plain('html'), f'[{SP}]+', '')}))::BIGINT AS chars FROM pages GROUP BY 1")
+@query(f"""SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS pages, sum({UNITS})::BIGINT AS chars
+FROM (SELECT page_id, {sql_replace('plain', f'[{SP}]+', '')} AS x FROM {sql_plain(RICH, 'page_id')}) JOIN pages USING (page_id) GROUP BY 1""")
 def characters_per_book(spark, sf):
     host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
-    return t(spark, sf, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.sum(H.character_count(F.col("html"))).alias("chars"))
+    return rich_pages(spark, sf).groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.sum(H.character_count(F.col("html"))).alias("chars"))
 
 
 @query(f"SELECT page_id, unnest({sql_tags('html')}) AS tag FROM pages")
@@ -458,3 +469,6 @@ def _scheme(c):
 
 
 literal("scheme_choices", [("to_simplified/tw", "twp2cn"), ("to_simplified/hk", "hk2cn"), ("to_traditional/none", "cn2t"), ("to_traditional/tw", "cn2twp"), ("none/none", "none")], _scheme)
+
+
+from quire.plans import model_queries  # noqa: E402, F401  (registers its queries)
