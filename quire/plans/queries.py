@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from quire.functions import html as H
 from quire.functions import text as T
 from quire.operators import nav, notices, references, segment
-from quire.operators.variants import converted_column
 from quire.plans.registry import QUERIES, SQL, query, quoted, t
 from quire.schema import ALLOWED_TAGS, DROPPED_TAGS
 
@@ -300,70 +299,6 @@ def escaped_text(spark, sf):
     return t(spark, sf, "documents").select("doc_id", T.escape_text(F.col("text")).alias("escaped"))
 
 
-@query("SELECT doc_id, lower(lang) LIKE 'ja%' AS japanese, CASE WHEN lower(lang) LIKE 'ja%' THEN 'none' ELSE 'tw2cn' END AS scheme FROM documents")
-def schemes(spark, sf):
-    from quire.operators.variants import effective_scheme, is_japanese
-
-    return t(spark, sf, "documents").select("doc_id", is_japanese(F.col("lang")).alias("japanese"), effective_scheme(F.col("lang"), F.lit("tw2cn")).alias("scheme"))
-
-
-# Literal rows: the test tables hold no CJK text
-
-KANA = ["カタカナ", "ラーメン", "ケントウ", "ヴァイオリン", "ひらがな", "abc"]
-KATA = "".join(map(chr, range(0x30A1, 0x30F7)))
-HIRA = "".join(chr(ord(c) - 0x60) for c in KATA)
-
-
-@query(f"SELECT kana, translate(kana, '{KATA}', '{HIRA}') AS hira FROM (VALUES {', '.join(f'({quoted(k)})' for k in KANA)}) v(kana)")
-def kana_to_hiragana(spark, sf):
-    return spark.createDataFrame([(k,) for k in KANA], "kana string").select("kana", T.hiragana(F.col("kana")).alias("hira"))
-
-
-MIXED = ["生まれた国", "見当", "佐々木さん", "〇一〇", "ひらがな", "漢字とkanji", ""]
-KANJI_RE2 = r"\x{3005}\x{3007}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FFFF}"
-
-
-@query(f"SELECT s, array_to_string(regexp_extract_all(s, '[{KANJI_RE2}]+|[^{KANJI_RE2}]+'), '|') AS runs, regexp_matches(s, '[{KANJI_RE2}]') AS kanji FROM (VALUES {', '.join(f'({quoted(k)})' for k in MIXED)}) v(s)")
-def kanji_runs(spark, sf):
-    s = F.col("s")
-    return spark.createDataFrame([(k,) for k in MIXED], "s string").select("s", F.array_join(T.kanji_runs(s), "|").alias("runs"), T.has_kanji(s).alias("kanji"))
-
-
-HEADS = ["第一章", "第十回 起点", "第12節", "番外", "後記 完", "第一章：标题", "第一章开始", "01", " 楔子"]
-
-
-@query(f"SELECT line, {HEAD} AS heading FROM (VALUES {', '.join(f'({quoted(k)})' for k in HEADS)}) v(line)")
-def heading_lines(spark, sf):
-    return spark.createDataFrame([(k,) for k in HEADS], "line string").select("line", T.is_heading(F.col("line")).alias("heading"))
-
-
-DATES = ["2020-05-06T07:08", "1999", "May 2020", "", "2020-05"]
-
-
-@query("""SELECT d, CASE WHEN regexp_extract(d, '^(\\d{4}-\\d{2}-\\d{2})', 1) <> '' THEN regexp_extract(d, '^(\\d{4}-\\d{2}-\\d{2})', 1)
-WHEN regexp_extract(d, '^(\\d{4})$', 1) <> '' THEN d || '-01-01' END AS iso FROM (VALUES """ + ", ".join(f"({quoted(d)})" for d in DATES) + ") v(d)")
-def dates(spark, sf):
-    return spark.createDataFrame([(d,) for d in DATES], "d string").select("d", T.normal_date(F.col("d")).alias("iso"))
-
-
-@query("""SELECT * FROM (VALUES ('網際網路和滑鼠', '互联网和鼠标'), ('軟體', '软件'), ('<b>軟</b>體', '<b>软</b>体'), ('<ruby>網<rt>網</rt></ruby>', '<ruby>网<rt>網</rt></ruby>')) v(html, converted)""")
-def variants(spark, sf):
-    from quire.operators.variants import DEMO
-
-    rows = [("網際網路和滑鼠",), ("軟體",), ("<b>軟</b>體",), ("<ruby>網<rt>網</rt></ruby>",)]
-    return spark.createDataFrame(rows, "html string").select("html", converted_column(F.col("html"), DEMO).alias("converted"))
-
-
-@query("""SELECT * FROM (VALUES ('生まれ', 'ウマレ', '<ruby>生<rp>(</rp><rt>う</rt><rp>)</rp></ruby>まれ'), ('見当', 'ケントウ', '<ruby>見当<rp>(</rp><rt>けんとう</rt><rp>)</rp></ruby>'),
-('カナ', 'カナ', 'カナ'), ('日', NULL, '日')) v(surface, reading, marked)""")
-def ruby(spark, sf):
-    from quire.operators.ruby import annotated_column
-
-    rows = [("生まれ", "ウマレ"), ("見当", "ケントウ"), ("カナ", "カナ"), ("日", None)]
-    d = spark.createDataFrame(rows, "surface string, reading string")
-    return d.select("surface", "reading", annotated_column(F.col("surface"), F.col("reading")).alias("marked"))
-
-
 @query()
 def sanitized(spark, sf):
     """The sanitiser is a state machine; tests hold it against a second implementation."""
@@ -443,32 +378,4 @@ def losses(spark, sf):
     return notices.losses(d, "txt")
 
 
-def literal(name: str, rows: list[tuple[str, str]], f) -> None:
-    """A query over rows of the model's own kinds, with what must come out."""
-    SQL[name] = f"SELECT * FROM (VALUES {', '.join(f'({quoted(a)}, {quoted(b)})' for a, b in rows)}) v(given, made)"
-    QUERIES[name] = lambda spark, sf: spark.createDataFrame([(a,) for a, _ in rows], "given string").select("given", f(F.col("given")).alias("made"))
-
-
-literal("slugs", [("Two Words", "two-words"), ("第一章 起点", "第一章-起点"), ("a  b!", "a-b")], T.slug)
-literal("file_bases", [("a/b: c", "ab-c"), ("???", "chapter-0007"), ("第一章", "第一章")], lambda c: T.file_base(c, F.lit(7)))
-literal("resolved_paths", [("../img/x.png", "OPS/img/x.png"), ("./a.html", "OPS/text/a.html"), ("a/../b", "OPS/text/b")], lambda c: T.resolve_path(F.lit("OPS/text/c.html"), c))
-literal("mime_types", [("a.JPG", "image/jpeg"), ("b/c.svg", "image/svg+xml"), ("x", "application/octet-stream")], T.mime_by_extension)
-literal("image_signatures", [("FFD8FFE0", "image/jpeg"), ("89504E470D", "image/png"), ("47494638", "image/gif"), ("424D00", "image/bmp")], lambda c: T.mime_by_content(F.unhex(c)))
-literal("output_names", [("d/书.txt", "书（简）.epub"), ("a.b.md", "a.b（简）.epub")], lambda c: T.output_name(c, F.lit("简"), F.lit("epub")))
-literal("without_readings", [("<ruby>漢<rp>(</rp><rt>かん</rt><rp>)</rp></ruby>字", "漢字"), ("<p>x</p>", "<p>x</p>")], H.without_readings)
-literal("without_noteref", [('<a class="noteref x" href="#n">1</a>', '<a class="x" href="#n">1</a>'), ('<a class="noteref">1</a>', "<a>1</a>")], lambda c: H.without_class(c, "noteref"))
-literal("utf16_lengths", [("𠮟a", "3"), ("abc", "3"), ("", "0")], lambda c: T.utf16_length(c).cast("string"))
-literal("sentences_cjk", [("他说。」好 3.14 a. b!", "他说。」|好 3.14 a. |b!"), ("a？b", "a？|b")], lambda c: F.array_join(T.sentences(c), "|"))
-literal("size_labels", [("10", "1 KB"), ("2048", "2 KB"), ("1572864", "1.5 MB")], lambda c: T.size_label(c.cast("long")))
-
-
-def _scheme(c):
-    from quire.operators.variants import scheme_for
-
-    return scheme_for(F.split_part(c, F.lit("/"), F.lit(1)), F.split_part(c, F.lit("/"), F.lit(2)))
-
-
-literal("scheme_choices", [("to_simplified/tw", "twp2cn"), ("to_simplified/hk", "hk2cn"), ("to_traditional/none", "cn2t"), ("to_traditional/tw", "cn2twp"), ("none/none", "none")], _scheme)
-
-
-from quire.plans import model_queries  # noqa: E402, F401  (registers its queries)
+from quire.plans import model_queries, text_queries  # noqa: E402, F401  (registers its queries)
