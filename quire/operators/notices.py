@@ -21,10 +21,24 @@ SENTENCES = {
     "The encoding isn't certain; some characters may be wrong.": ("txt.encoding-fallback",),
     "Some images weren't found; their descriptions stand in.": ("md.image-unresolved",),
     "The structure was guessed from the page layout.": ("pdf.no-structure", "pdf.flat-nav", "pdf.paged-chapters"),
+    "Reading marks weren't made: their dictionary couldn't be loaded.": ("ruby.unavailable",),
+    "Reading marks weren't made: this format can't hold them.": ("ruby.format",),
+    "Characters weren't converted: the book is Japanese.": ("variants.japanese-kept",),
+    "EPUB suits a book that came as AZW3.": ("azw3.output",),
+    "Images and notes were left out: text files can't hold them.": ("txt.media-dropped", "txt.notes-dropped"),
+    "Reading marks were reduced to their base text.": ("mobi.readings-dropped",),
+    "Notes stand at the end of the book.": ("mobi.notes-moved",),
+    "The vertical writing mode isn't kept by this format.": ("output.upright",),
 }
 FALLBACK = "A detail couldn't be kept; the rest isn't affected."
 
 
+def told(codes: list[str]) -> list[str]:
+    """The sentences of these codes, each once, in order."""
+    by = {code: sentence for sentence, own in SENTENCES.items() for code in own}
+    return list(dict.fromkeys(by.get(c, FALLBACK) for c in codes))
+
+
 def messages(spark: SparkSession) -> DataFrame:
     rows = [(code, sentence) for sentence, codes in SENTENCES.items() for code in codes]
     return spark.createDataFrame(rows, "code string, sentence string")
@@ -59,6 +73,7 @@ def losses(books: DataFrame, fmt: str) -> DataFrame:
     rules = {
         "txt": [("has_images", "txt.media-dropped"), ("has_notes", "txt.notes-dropped")],
         "mobi": [("has_ruby", "mobi.readings-dropped"), ("has_notes", "mobi.notes-moved")],
+        "html": [], "epub": [], "kepub": [],
     }.get(fmt, [])
     made = F.array_compact(F.array(*[F.when(F.col(c), F.lit(code)) for c, code in rules])) if rules else F.array().cast("array<string>")
     return books.select("book_id", F.explode(made).alias("code"))

@@ -4,7 +4,7 @@ piece, readings (rt) left alone."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,19 +16,38 @@ BY_CHOICE = {
     ("to_simplified", "none"): "t2cn", ("to_simplified", "tw"): "twp2cn", ("to_simplified", "hk"): "hk2cn",
     ("to_traditional", "none"): "cn2t", ("to_traditional", "tw"): "cn2twp", ("to_traditional", "hk"): "cn2hk",
 }
+#: What output names say of a scheme.
+TAGS = {s: "简体" if s.endswith("2cn") else "繁體" for s in SCHEMES if s != "none"}
 #: A few entries to show the operator; real dictionaries are the caller's.
 DEMO = {"網際網路": "互联网", "滑鼠": "鼠标", "軟體": "软件", "軟": "软", "網": "网", "國": "国", "書": "书", "體": "体"}
 _PARTS = re.compile(r"<[^>]*>|[^<]+|<")
 
 
+def read_dictionary(lines: Iterable[str]) -> dict[str, str]:
+    """A dictionary in the text format of OpenCC: a word, a tab, its forms with spaces between, the first of which counts."""
+    rows = (line.rstrip("\n").split("\t") for line in lines if line.strip() and not line.startswith("#"))
+    return {r[0]: r[1].split(" ")[0] for r in rows if len(r) > 1 and r[1].strip()}
+
+
 class Converter:
-    def __init__(self, dictionary: dict[str, str]):
-        self.dictionary = dictionary
-        words = sorted(dictionary, key=len, reverse=True)
-        self.pattern = re.compile("|".join(map(re.escape, words))) if words else None
+    """dictionary: one, or several that are used one after the other; in each the longest word counts."""
+
+    def __init__(self, dictionary: dict[str, str] | list[dict[str, str]]):
+        steps = [dictionary] if isinstance(dictionary, dict) else dictionary
+        self.steps = [(d, max(map(len, d)), {w[0] for w in d}) for d in steps if d]
 
     def text(self, text: str) -> str:
-        return self.pattern.sub(lambda m: self.dictionary[m[0]], text) if self.pattern else text
+        for words, longest, firsts in self.steps:
+            out, at = [], 0
+            while at < len(text):
+                size = 1
+                if text[at] in firsts:
+                    size = next((n for n in range(min(longest, len(text) - at), 0, -1) if text[at : at + n] in words), 1)
+                word = text[at : at + size]
+                out.append(words.get(word, word))
+                at += size
+            text = "".join(out)
+        return text
 
     def html(self, html: str) -> str:
         out, reading = [], 0
@@ -71,7 +90,7 @@ def converted_column(html: Column, dictionary: dict[str, str]) -> Column:
     return F.pandas_udf(convert, "string")(html)
 
 
-def converted(books: DataFrame, scheme: str, dictionaries: dict[str, dict[str, str]]) -> DataFrame:
+def converted(books: DataFrame, scheme: str, dictionaries: dict[str, dict[str, str] | list[dict[str, str]]]) -> DataFrame:
     """books (nested rows of plans.conversion) with titles, people, descriptions, chapters, notes and navigation
     converted; the language tag stays. Unknown schemes are errors; `none` leaves the plan as it is."""
     if scheme not in SCHEMES:

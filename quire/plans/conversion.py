@@ -3,25 +3,28 @@ and writing need no shuffle; a file that fails becomes a row with `failure` and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quire.model import BOOK, BookError, chapter, failed, nav_from_levels, new_book
 from quire.operators import notices
-from quire.operators.variants import SCHEMES, converted
+from quire.operators.ruby import with_readings
+from quire.operators.variants import SCHEMES, TAGS, converted
 from quire.schema import HORIZONTAL, VERTICAL
 from quire.sinks import epub as epub_sink
 from quire.sinks import mobi as mobi_sink
 from quire.sinks import texts
 from quire.sources import archive, docx, epub, kindle, markdown, plain
 
-BATCH_BOOKS = 16
-OUT = "src_path string, name string, mime string, content binary, failure string"
+OUT = "src_path string, name string, mime string, content binary, notes array<string>, failure string"
+RUBY_FORMATS = ("epub", "kepub")
+UPRIGHT_FORMATS = ("txt", "mobi")
 
 READERS: dict[str, Callable[[bytes, str], dict]] = {
     "txt": plain.read, "md": markdown.read, "epub": epub.read, "docx": docx.read,
@@ -36,15 +39,18 @@ WRITERS: dict[str, tuple[str, str, Callable[[dict], bytes]]] = {
 
 @dataclass(frozen=True)
 class Options:
-    """A conversion. writing_mode: keep, or one of the two modes. dictionaries: by scheme."""
+    """A conversion. writing_mode: keep, or one of the two modes. readings: off, all kanji, or rare ones only, of Japanese
+    books in formats that can hold them. tag: of output names; None stands for the scheme's own."""
 
     output: str = "epub"
     scheme: str = "none"
     writing_mode: str = "keep"
-    tag: str = ""
+    tag: str | None = ""
+    readings: str = "off"
 
     def __post_init__(self):
-        if self.output not in WRITERS or self.scheme not in SCHEMES or self.writing_mode not in ("keep", HORIZONTAL, VERTICAL):
+        known = self.output in WRITERS and self.scheme in SCHEMES and self.readings in ("off", "all", "rare")
+        if not known or self.writing_mode not in ("keep", HORIZONTAL, VERTICAL):
             raise ValueError(f"options that aren't known: {self}")
 
 
@@ -54,12 +60,12 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def parsed(path: str, content: bytes) -> list[dict]:
-    """The books of one file; failures are books too."""
+def parsed(path: str, content: bytes, first: bool = False) -> list[dict]:
+    """The books of one file, or the first of an archive; failures are books too."""
     ext = archive.extension(path)
     try:
         if ext == "zip":
-            return archive.read_all(content, path, READERS)
+            return archive.read_all(content, path, READERS, first)
         if ext not in READERS:
             raise BookError(f"files of type {ext or 'none'} can't be read")
         return [READERS[ext](content, path)]
@@ -75,17 +81,21 @@ def _rows(batches: Iterable[pa.RecordBatch], schema: pa.Schema, make: Callable[[
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def parsed_files(files: DataFrame) -> DataFrame:
-    """BOOK rows of files (path, content)."""
+def parsed_files(files: DataFrame, first: bool = False) -> DataFrame:
+    """BOOK rows of files (path, content). first: of each archive only its first book."""
     schema = arrow_schema(BOOK)
-    return files.select("path", "content").mapInArrow(lambda it: _rows(it, schema, lambda r: parsed(r["path"], r["content"])), BOOK)
+    return files.select("path", "content").mapInArrow(lambda it: _rows(it, schema, lambda r: parsed(r["path"], r["content"], first)), BOOK)
 
 
-def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """BOOK rows of all files under path, of every type that can be read."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_BOOKS))
+def of_books(path: Column) -> Column:
+    """Files of types that can be read, or that hold books and fail with a reason."""
+    return F.lower(path).rlike(rf"\.({'|'.join([*READERS, 'zip', *archive.UNSUPPORTED])})$")
+
+
+def read_books(spark: SparkSession, path: str, first: bool = False) -> DataFrame:
+    """BOOK rows of all files under path; those of types that can't be read are failures, PDF among them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return parsed_files(files.where(F.lower("path").rlike(rf"\.({'|'.join([*READERS, 'zip'])})$")))
+    return parsed_files(files.where(of_books(F.col("path"))), first)
 
 
 def mapped(books: DataFrame, change: Callable[[dict], dict] | None = None, prepare: Callable[[], Callable[[dict], dict]] | None = None) -> DataFrame:
@@ -111,10 +121,13 @@ def written(books: DataFrame, options: Options) -> DataFrame:
     def one(book: dict) -> list[dict]:
         from quire.model import stem
 
-        out = {"src_path": book["src_path"], "name": f"{stem(book['src_path'])}{f'（{options.tag}）' if options.tag else ''}.{ext}", "mime": mime, "content": None, "failure": book["failure"]}
+        japanese = (book["meta"]["language"] or "").lower().startswith("ja")
+        tag = TAGS.get("none" if japanese else options.scheme, "") if options.tag is None else options.tag
+        out = {"src_path": book["src_path"], "name": f"{stem(book['src_path'])}{f'（{tag}）' if tag else ''}.{ext}", "mime": mime, "content": None, "notes": [], "failure": book["failure"]}
         if not out["failure"]:
             try:
                 out["content"] = write(book)
+                out["notes"] = notices.told([w["code"] for w in [*book["warnings"], *output_warnings(book, options)]])
             except Exception as e:
                 out["failure"] = f"{type(e).__name__}: {e}"
         return [out]
@@ -122,7 +135,27 @@ def written(books: DataFrame, options: Options) -> DataFrame:
     return books.mapInArrow(lambda it: _rows(it, schema, one), OUT)
 
 
-def convert(books: DataFrame, options: Options, dictionaries: dict[str, dict[str, str]] | None = None) -> DataFrame:
+def output_warnings(book: dict, options: Options) -> list[dict]:
+    """What an output can't keep of a book, and what was done otherwise than asked."""
+    japanese = (book["meta"]["language"] or "").lower().startswith("ja")
+    html = "".join(x["html"] for x in [*book["chapters"], *book["notes"]])
+    rows = [
+        (japanese and options.scheme != "none", "variants.japanese-kept"), (japanese and options.readings != "off" and options.output not in RUBY_FORMATS, "ruby.format"),
+        (book["src_path"].lower().endswith(".azw3"), "azw3.output"),
+        (options.output == "txt" and bool(book["resources"] or book["notes"]), "txt.media-dropped"),
+        (options.output == "mobi" and bool(re.search(r"<ruby[\s>]", html, re.I)), "mobi.readings-dropped"), (options.output == "mobi" and bool(book["notes"]), "mobi.notes-moved"),
+        (book["meta"]["writing_mode"] == VERTICAL and options.output in UPRIGHT_FORMATS, "output.upright"),
+    ]
+    return [{"code": code, "detail": None} for holds, code in rows if holds]
+
+
+def convert(books: DataFrame, options: Options, dictionaries: dict | None = None, load_tokenizer: Callable | None = None, common: frozenset[str] | None = None) -> DataFrame:
+    """OUT rows: readings first, then variants, then the writing mode. load_tokenizer makes the tokenizer of readings; common:
+    the kanji that stay bare where only rare ones are marked."""
+    if options.readings != "off" and options.output in RUBY_FORMATS:
+        if load_tokenizer is None or (options.readings == "rare" and common is None):
+            raise ValueError("readings need a tokenizer, and for rare kanji the common ones")
+        books = with_readings(books, load_tokenizer, common if options.readings == "rare" else None)
     return written(in_mode(converted(books, options.scheme, dictionaries or {}), options.writing_mode), options)
 
 

@@ -115,6 +115,10 @@ def documents(book: dict) -> tuple[list[tuple[str, str]], dict[str, str]]:
     return out, place
 
 
+def contents_label(language: str | None) -> str:
+    return {"zh": "目录", "ja": "目次"}.get((language or "").lower()[:2], "Contents")
+
+
 def navigation(book: dict, place: dict[str, str]) -> tuple[str, str]:
     """The nav document and the NCX."""
     count = [0]
@@ -134,7 +138,8 @@ def navigation(book: dict, place: dict[str, str]) -> tuple[str, str]:
         return "".join(out)
 
     meta = book["meta"]
-    nav = XHTML.format(lang=escape_attribute(meta["language"]), title=escape_text(meta["title"]), cls="", body=f'<nav epub:type="toc" id="toc"><h1>{escape_text(meta["title"])}</h1>{items(None) or "<ol></ol>"}</nav>')
+    label = contents_label(meta["language"])
+    nav = XHTML.format(lang=escape_attribute(meta["language"]), title=label, cls="", body=f'<nav epub:type="toc" id="toc"><h1>{label}</h1>{items(None) or "<ol></ol>"}</nav>')
     toc = f'<?xml version="1.0" encoding="utf-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{escape_attribute(meta["identifier"])}"/></head><docTitle><text>{escape_text(meta["title"])}</text></docTitle><navMap>{points(None)}</navMap></ncx>\n'
     return nav, toc
 

@@ -10,6 +10,15 @@ from quire.sinks.epub import heading_text, without_readings
 
 #: Fixed values of the format.
 RECORD, HEADER, PALM_EPOCH, UTF8, NONE = 4096, 232, 2082844800, 65001, 0xFFFFFFFF
+#: Windows locale numbers by the start of a language tag, longer ones first.
+LOCALES = {
+    "zh-hans": 0x0804, "zh-cn": 0x0804, "zh-hant": 0x0404, "zh-tw": 0x0404, "zh": 0x0004, "ja": 0x0411, "ko": 0x0412,
+    "en": 0x0409, "fr": 0x040C, "de": 0x0407, "es": 0x040A,
+}
+
+
+def locale_number(language: str | None) -> int:
+    return next((n for tag, n in LOCALES.items() if (language or "").lower().startswith(tag)), 0)
 
 
 def unique_id(text: str) -> int:
@@ -73,7 +82,7 @@ def write(book: dict, seconds: int = 0) -> bytes:
     for at in range(40, 80, 4):
         struct.pack_into(">I", h, at, NONE)
     struct.pack_into(">III", h, 80, first_image, 16 + HEADER + len(exth), len(title))
-    struct.pack_into(">IIII", h, 92, 0, 0, 0, 6)
+    struct.pack_into(">IIII", h, 92, locale_number(book["meta"]["language"]), 0, 0, 6)
     struct.pack_into(">I", h, 108, first_image if images else NONE)
     struct.pack_into(">I", h, 128, 0x40)
     struct.pack_into(">IIII", h, 168, NONE, NONE, 0, 0)

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from quire.model import BookError, failed, new_book, warn
+from quire.model import BookError, failed, warn
 
 READABLE = ("txt", "md", "epub", "docx", "mobi", "azw3", "azw")
 UNSUPPORTED = ("pdf", "rar", "7z", "doc", "rtf")
 IMAGES = ("jpg", "jpeg", "png", "gif", "svg", "webp", "bmp")
+#: An entry that unpacks to more is refused, as a book of its own that failed: a row of a table holds 2 GiB at most.
 ENTRY_BYTES = 1 << 30
-TOTAL_BYTES = 4 << 30
 
 
 def extension(path: str) -> str:
@@ -40,35 +40,41 @@ def entry_name(info: zipfile.ZipInfo) -> str:
 
 def opened(data: bytes) -> zipfile.ZipFile:
     try:
-        z = zipfile.ZipFile(io.BytesIO(data))
+        return zipfile.ZipFile(io.BytesIO(data))
     except zipfile.BadZipFile as e:
         raise BookError(f"no ZIP archive: {e}") from e
-    if sum(i.file_size for i in z.infolist()) > TOTAL_BYTES or any(i.file_size > ENTRY_BYTES for i in z.infolist()):
-        raise BookError("the archive unpacks to too much")
-    return z
 
 
-def classified(data: bytes) -> Iterator[tuple[str, str, bytes]]:
-    """(path, class, content): book, unsupported, skipped or too deep. Entries of inner archives carry their
-    archive's path in front."""
+def loader(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> Callable[[], bytes]:
+    def load() -> bytes:
+        if info.file_size > ENTRY_BYTES:
+            raise BookError("the entry unpacks to too much")
+        return z.read(info)
+
+    return load
+
+
+def classified(data: bytes) -> Iterator[tuple[str, str, Callable[[], bytes]]]:
+    """(path, class, how to load the content): book, unsupported, skipped or too deep. Entries of inner archives carry their
+    archive's path in front. Nothing but inner archives is unpacked here."""
     z = opened(data)
     for info in z.infolist():
         path = entry_name(info)
         if info.is_dir() or is_junk(path):
             continue
         if extension(path) != "zip":
-            yield path, kind(path), z.read(info)
+            yield path, kind(path), loader(z, info)
             continue
         try:
-            inner = opened(z.read(info))
+            inner = opened(loader(z, info)())
         except BookError:
-            yield path, "skipped", b""
+            yield path, "skipped", bytes
             continue
         for sub in inner.infolist():
             name = entry_name(sub)
             if not sub.is_dir() and not is_junk(name):
                 deep = extension(name) == "zip"
-                yield f"{path}/{name}", "too deep" if deep else kind(name), b"" if deep else inner.read(sub)
+                yield f"{path}/{name}", "too deep" if deep else kind(name), loader(inner, sub)
 
 
 def kind(path: str) -> str:
@@ -76,30 +82,32 @@ def kind(path: str) -> str:
     return "book" if e in READABLE else "unsupported" if e in UNSUPPORTED else "skipped"
 
 
-def beside(path: str, entries: dict[str, bytes]) -> dict[str, bytes]:
+def beside(path: str, entries: dict[str, Callable[[], bytes]]) -> dict[str, Callable[[], bytes]]:
     """Images in the folder of path, by their names there."""
     folder = path.rpartition("/")[0]
     return {p.rpartition("/")[2]: d for p, d in entries.items() if p.rpartition("/")[0] == folder and extension(p) in IMAGES}
 
 
-def read_all(data: bytes, name: str, readers: dict) -> list[dict]:
-    """A book for each that the archive holds, by name; one that fails does so on its own."""
+def read_all(data: bytes, name: str, readers: dict, first: bool = False) -> list[dict]:
+    """A book for each that the archive holds, by name; one that fails does so on its own. Entries are unpacked one at a
+    time, with the images beside them. first: only the first book, with a warning if there are more."""
     from quire.sources import markdown
 
     entries = list(classified(data))
     content = {p: d for p, _, d in entries}
     books, used = [], set()
-    for path in sorted(p for p, k, _ in entries if k == "book"):
+    found = sorted(p for p, k, _ in entries if k == "book")
+    for path in found[:1] if first else found:
         full = f"{name}/{path}"
         try:
             if extension(path) == "md":
                 near = beside(path, content)
-                assets = {k: (markdown.mime_of(k), d) for k, d in near.items()}
-                book = markdown.read(content[path], full, assets)
+                assets = {k: (markdown.mime_of(k), load()) for k, load in near.items()}
+                book = markdown.read(content[path](), full, assets)
                 if book["resources"]:
                     used |= {f"{path.rpartition('/')[0]}/{k}".lstrip("/") for k in near}
             else:
-                book = readers[extension(path)](content[path], full)
+                book = readers[extension(path)](content[path](), full)
         except Exception as e:  # one member's failure is its own
             book = failed(full, str(e))
         books.append(book)
@@ -110,11 +118,6 @@ def read_all(data: bytes, name: str, readers: dict) -> list[dict]:
         if left:
             more = f" ({len(left)} in all)" if len(left) > 5 else ""
             warn(books[0], code, ", ".join(left[:5]) + more)
+    if first and len(found) > 1:
+        warn(books[0], "zip.multiple-books", str(len(found)))
     return books
-
-
-def read_first(data: bytes, name: str, readers: dict) -> dict:
-    books = read_all(data, name, readers)
-    if len(books) > 1:
-        warn(books[0], "zip.multiple-books", str(len(books)))
-    return books[0] if books else new_book(name)

@@ -115,7 +115,7 @@ def take_notes(html: str) -> tuple[str, dict[str, str]]:
     while m := _NOTE.search(html, at):
         kinds = re.search(r"epub:type\s*=\s*[\"']([^\"']*)", m[2])
         own = re.search(r"\bid\s*=\s*[\"']([^\"']*)", m[2])
-        if not (kinds and own and NOTE_TYPES & set(kinds[1].split())):
+        if not (kinds and own and NOTE_TYPES & set(kinds[1].lower().split())):
             at = m.end()
             continue
         depth, end, close = 1, len(html), len(html)
@@ -189,7 +189,8 @@ def read(data: bytes, name: str) -> dict:
             if tag == "a" and "href" in a and not is_external(a["href"]):
                 target, _, anchor = a["href"].partition("#")
                 if anchor in numbers and (not target or resolved(where, target) == where):
-                    return [("class", "noteref"), ("href", f"#{numbers[anchor]}")]
+                    rest = [(k, f"#{numbers[anchor]}" if k == "href" else v) for k, v in attrs if k not in ("class", "epub:type")]
+                    return [("class", f"{a.get('class', '').strip()} noteref".strip()), *rest]
                 if target and resolved(where, target) != where:
                     to = chapter_of.get(resolved(where, target))
                     return None if to is None else [(k, f"#{to}" if k == "href" else v) for k, v in attrs]
@@ -214,11 +215,11 @@ def read(data: bytes, name: str) -> dict:
     def add(rows: list, parent: str | None, depth: int) -> None:
         for title, href, inner in rows:
             target = chapter_of.get(resolved(base, href)) if href else None
-            node, below = parent, depth
-            if target:  # an entry that leads nowhere goes; its children move up
-                node, below = f"n{len(book['nav']) + 1}", depth + 1
+            node = parent
+            if target:  # an entry that leads nowhere goes; its children move up, and keep the level of their nesting
+                node = f"n{len(book['nav']) + 1}"
                 book["nav"].append({"id": node, "parent": parent, "title": title, "target": target, "anchor": href.partition("#")[2] or None, "level": min(3, depth)})
-            add(inner, node, below)
+            add(inner, node, depth + 1)
 
     add(entries, None, 1)
     for c in book["chapters"]:

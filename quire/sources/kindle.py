@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import locale
 import re
 import struct
 
@@ -10,7 +12,25 @@ from quire.model import BookError, chapter, nav_from_levels, new_book, stem, val
 
 #: Fixed values of the formats.
 NONE, HUFF, PALMDOC = 0xFFFFFFFF, 17480, 2
-EXTH = {100: "author", 101: "publisher", 103: "description", 106: "date", 503: "title", 524: "language"}
+EXTH = {100: "author", 101: "publisher", 103: "description", 104: "isbn", 106: "date", 113: "asin", 503: "title", 524: "language"}
+CHINESE, TRADITIONAL = 4, (1, 3)
+codecs.register_error("c1", lambda e: (e.object[e.start : e.end].decode("latin-1"), e.end))
+
+
+def language_of_tag(tag: str | None) -> str | None:
+    """A language tag as books carry it: Chinese by script, the common ones without region."""
+    low = (tag or "").lower()
+    if low.startswith("zh"):
+        return "zh-Hant" if re.search("tw|hk|hant|mo", low) else "zh-Hans"
+    return low[:2] if low[:2] in ("ja", "ko", "en", "fr", "de", "es") else tag or None
+
+
+def language_of_locale(code: int, regions: bool) -> str | None:
+    """The language of a Windows locale number, whose low byte names it; regions: whether those of Chinese count."""
+    if code & 0xFF == CHINESE:
+        return "zh-Hant" if regions and code >> 10 & 0xFF in TRADITIONAL else "zh-Hans"
+    found = next((v[:2] for k, v in sorted(locale.windows_locale.items()) if k & 0xFF == code & 0xFF and code & 0xFF), None)
+    return "no" if found in ("nb", "nn") else found
 IMAGES = ((b"\xff\xd8\xff", "image/jpeg", "jpg"), (b"\x89PNG", "image/png", "png"), (b"GIF", "image/gif", "gif"), (b"BM", "image/bmp", "bmp"))
 
 
@@ -89,7 +109,7 @@ class Header:
         return struct.unpack_from(">I", self.data, at)[0] if at + 4 <= len(self.data) else default
 
     def text(self, raw: bytes) -> str:
-        return raw.decode(self.encoding, "replace") if self.encoding == "utf-8" else raw.decode("cp1252", "replace")
+        return raw.decode(self.encoding, "replace") if self.encoding == "utf-8" else raw.decode("cp1252", "c1")
 
     def extended(self) -> list[tuple[int, bytes]]:
         at = 16 + self.length
@@ -123,6 +143,14 @@ class Header:
         if d := meta.get("date"):
             m = re.match(r"\d{4}-\d{2}-\d{2}", d)
             meta["date"] = m[0] if m else f"{d}-01-01" if re.fullmatch(r"\d{4}", d) else ""
+        isbn, asin = meta.pop("isbn", None), meta.pop("asin", None)
+        kf8 = self.version >= 8
+        if kf8:
+            meta["language"] = language_of_locale(self.u32(92, 0), True)
+            meta["identifier"] = f"urn:mobi:asin:{asin}" if asin else None
+        else:
+            meta["language"] = language_of_tag(meta.get("language")) or language_of_locale(self.u32(92, 0), False)
+            meta["identifier"] = f"urn:isbn:{isbn}" if isbn else None
         return new_book(name, data, **({"title": self.title or stem(name)} | meta))
 
 

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.plans.conversion import BATCH_BOOKS, READERS, Options, convert, parsed_files
+from quire.plans.conversion import Options, convert, of_books, parsed_files
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def books(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataFrame:
     """BOOK rows of files as they arrive."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_BOOKS))
     files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_a_batch).load(path)
-    return parsed_files(files.where(F.lower("path").rlike(rf"\.({'|'.join([*READERS, 'zip'])})$")))
+    return parsed_files(files.where(of_books(F.col("path"))))
 
 
 def conversions(spark: SparkSession, path: str, out: str, checkpoint: str, options: Options, dictionaries: dict | None = None) -> StreamingQuery:

@@ -199,7 +199,7 @@ def test_archive():
     assert [b["src_path"] for b in books] == ["z.zip/a.txt", "z.zip/b/m.md", "z.zip/bad.epub", "z.zip/in.zip/deep.txt"]
     assert [bool(b["failure"]) for b in books] == [False, False, True, False] and books[1]["resources"][0]["data"] == PNG
     assert {w["code"]: w["detail"] for w in books[0]["warnings"] if w["code"][:3] == "zip"} == {"zip.skipped": "x.exe", "zip.unsupported": "x.pdf", "zip.nested-too-deep": "in.zip/more.zip"}
-    assert archive.read_first(data, "z.zip", C.READERS)["warnings"][-1]["code"] == "zip.multiple-books"
+    assert archive.read_all(data, "z.zip", C.READERS, first=True)[0]["warnings"][-1]["code"] == "zip.multiple-books"
     gbk = zipfile.ZipInfo("x")
     gbk.filename, gbk.flag_bits = "书.txt".encode("gb18030").decode("cp437"), 0
     assert archive.entry_name(gbk) == "书.txt"
@@ -318,3 +318,58 @@ def test_texts():
     assert texts.write_txt(b).decode("utf-8-sig").startswith("第一\n\nhi a. B! l\nx1")
     page = texts.write_html(b).decode()
     assert "data:image/png;base64," in page and '<nav><ol><li><a href="#ch1">第一</a><ol>' in page and '<aside id="n1">' in page
+
+
+def test_kindle_languages():
+    for tag, code, want in [("ja", 0x0411, "ja"), ("zh-Hant", 0x0404, "zh-Hant"), ("en", 0x0409, "en"), ("ko", 0x0412, "ko")]:
+        book = sample()
+        book["meta"]["language"] = tag
+        data = mobi_sink.write(book)
+        assert kindle.Header(kindle.records(data)).u32(92) == code and kindle.read_mobi(data, "x.mobi")["meta"]["language"] == want
+        without = data.replace(struct.pack(">II", 524, 8 + len(tag)), struct.pack(">II", 999, 8 + len(tag)))
+        assert kindle.read_mobi(without, "x.mobi")["meta"]["language"] == ("zh-Hans" if tag == "zh-Hant" else want)
+    assert [kindle.language_of_tag(x) for x in ("zh-TW", "zh-CN", "JA-jp", "pt-BR", None, "")] == ["zh-Hant", "zh-Hans", "ja", "pt-BR", None, None]
+    assert [kindle.language_of_locale(c, True) for c in (0x0404, 0x0C04, 0x0804, 0x0414, 0, 0x0419)] == ["zh-Hant", "zh-Hant", "zh-Hans", "no", None, "ru"]
+
+
+def test_undefined_bytes_of_windows_1252():
+    assert b"a\x81\x93\x9d".decode("cp1252", "c1") == "a\x81“\x9d"
+
+
+def test_notes_of_outputs_and_readings(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("第一章\n日本", encoding="utf-8")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4")
+    books = C.read_books(spark, str(tmp_path))
+    assert [r.failure.split(": ")[1] for r in books.where("failure is not null").collect()] == ["files of type pdf can't be read"]
+    good = books.where("failure is null")
+    ja = good.withColumn("meta", F.col("meta").withField("language", F.lit("ja")).withField("writing_mode", F.lit("vertical-rl")))
+    load = lambda: lambda text: [("日本", "ニホン") if x == "日本" else (x, None) for x in text.split()]
+    (out,) = C.convert(ja, C.Options("epub", scheme="t2cn", tag=None, readings="all"), {"t2cn": variants.DEMO}, load).collect()
+    text = "".join(c["html"] for c in epub.read(bytes(out.content), "a.epub")["chapters"])
+    assert "<rt>にほん</rt>" in text and out.name == "a.epub" and out.notes == ["Characters weren't converted: the book is Japanese."]
+    (out,) = C.convert(ja, C.Options("mobi", readings="all")).collect()
+    assert out.notes == ["Reading marks weren't made: this format can't hold them.", "The vertical writing mode isn't kept by this format."]
+    (out,) = C.convert(good, C.Options("txt", scheme="t2cn", tag=None), {"t2cn": variants.DEMO}).collect()
+    assert out.name == "a（简体）.txt" and out.notes == []
+    with pytest.raises(ValueError, match="tokenizer"):
+        C.convert(ja, C.Options("epub", readings="rare"))
+
+
+def test_dictionaries_in_text_form():
+    words = variants.read_dictionary(["# x", "網際網路\t互联网 因特网\n", "網\t网", "", "壞"])
+    assert words == {"網際網路": "互联网", "網": "网"}
+    c = variants.Converter([words, {"互联网": "網路"}])
+    assert c.text("網際網路網x") == "網路网x" and variants.Converter({}).text("a") == "a"
+
+
+def test_first_book_of_an_archive(spark, tmp_path):
+    (tmp_path / "z.zip").write_bytes(zipped({"b.txt": "第二章\nb", "a.txt": "第一章\na"}))
+    (book,) = C.read_books(spark, str(tmp_path), first=True).collect()
+    assert book.src_path.endswith("a.txt") and [w.code for w in book.warnings] == ["zip.multiple-books"]
+
+
+def test_note_references_keep_their_attributes():
+    page = '<html><body><h1>A</h1><p>x<a id="r1" class="sup" epub:type="noteref" href="#f1">1</a></p><aside epub:type="FootNote" id="f1"><p>n</p></aside></body></html>'
+    book = epub.read(package(**{"O/x y.html": page}), "x.epub")
+    assert '<a class="sup noteref" id="r1" href="#n1">' in book["chapters"][0]["html"] and book["notes"][0]["html"] == "<p>n</p>"
+    assert [(n["title"], n["level"]) for n in book["nav"]] == [("C1", 2), ("C2", 1)] and book["chapters"][0]["level"] == 2
