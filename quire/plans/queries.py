@@ -299,12 +299,25 @@ def escaped_text(spark, sf):
     return t(spark, sf, "documents").select("doc_id", T.escape_text(F.col("text")).alias("escaped"))
 
 
-@query()
+TAG_NAME = "lower(regexp_extract(k, '^</?([A-Za-z][A-Za-z0-9]*)', 1))"
+MAY_STAY = """'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'div', 'span', 'em', 'strong', 'i', 'b', 'u', 's', 'ruby', 'rt', 'rp', 'img', 'figure', 'figcaption', 'blockquote', 'pre', 'code',
+'ul', 'ol', 'li', 'dl', 'dt', 'dd', 'table', 'thead', 'tbody', 'tr', 'th', 'td', 'a', 'br', 'hr', 'sup', 'sub'"""
+ATTRIBUTES = r"""array_to_string(list_transform(list_filter(regexp_extract_all(k, '\s([A-Za-z-]+="[^"]*")', 1), lambda a: split_part(lower(a), '=', 1) IN ('id', 'class', 'lang', 'dir')
+OR ({n} = 'a' AND starts_with(lower(a), 'href=')) OR ({n} = 'img' AND split_part(lower(a), '=', 1) IN ('src', 'alt', 'width', 'height')) OR ({n} IN ('td', 'th') AND split_part(lower(a), '=', 1) IN ('colspan', 'rowspan'))),
+lambda a: ' ' || lower(split_part(a, '=', 1)) || substr(a, strpos(a, '='))), '')""".replace("{n}", TAG_NAME)
+CLEAN = f"""CASE WHEN regexp_matches(k, '^</[A-Za-z]') THEN CASE WHEN {TAG_NAME} IN ({MAY_STAY}) AND {TAG_NAME} NOT IN ('img', 'br', 'hr') THEN '</' || {TAG_NAME} || '>' ELSE '' END
+WHEN regexp_matches(k, '^<[A-Za-z]') THEN CASE WHEN {TAG_NAME} IN ({MAY_STAY}) THEN '<' || {TAG_NAME} || {ATTRIBUTES} || CASE WHEN {TAG_NAME} IN ('img', 'br', 'hr') THEN ' /' ELSE '' END || '>' ELSE '' END
+ELSE {ESCAPED.format(sql_decoded('k'))} END"""
+
+
+@query(rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g'), '(?is){DROPPED_RE2}', '', 'g') AS x FROM {RICH}),
+b AS (SELECT page_id, regexp_extract_all(regexp_replace(x, '<[!?][^>]*>', '', 'g'), '<[^>]*>|[^<]+') AS ks FROM a)
+SELECT page_id, array_to_string(list_transform(ks, lambda k: {CLEAN}), '') AS html FROM b""")
 def sanitized(spark, sf):
-    """The sanitiser is a state machine; tests hold it against a second implementation."""
+    """The sanitiser, a state machine, against steps of regular expressions."""
     from quire.functions.markup import sanitize_column
 
-    return t(spark, sf, "pages").select("page_id", sanitize_column(F.col("html")).alias("html"))
+    return rich_pages(spark, sf).select("page_id", sanitize_column(F.col("html")).alias("html"))
 
 
 @query("""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS ord, role || ' ' || turn AS title,
@@ -378,4 +391,4 @@ def losses(spark, sf):
     return notices.losses(d, "txt")
 
 
-from quire.plans import model_queries, text_queries  # noqa: E402, F401  (registers its queries)
+from quire.plans import format_queries, model_queries, text_queries  # noqa: E402, F401  (registers its queries)
