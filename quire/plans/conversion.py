@@ -98,6 +98,28 @@ def read_books(spark: SparkSession, path: str, first: bool = False) -> DataFrame
     return parsed_files(files.where(of_books(F.col("path"))), first)
 
 
+def read_layouts(runs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """BOOK rows of text runs (path, page, str, x, y, width, font) as a PDF engine gives them; labels (path, page, title) make
+    the navigation. The runs of a file meet in one row."""
+    from quire.sources import layout
+
+    schema = arrow_schema(BOOK)
+    by = runs.groupBy("path").agg(F.collect_list(F.struct("page", "str", "x", "y", "width", "font")).alias("runs"))
+    if labels is not None:
+        by = by.join(labels.groupBy("path").agg(F.collect_list(F.struct("page", "title")).alias("labels")), "path", "left")
+
+    def make(r: dict) -> list[dict]:
+        pages: list[list[dict]] = [[] for _ in range(max(x["page"] for x in r["runs"]))]
+        for x in r["runs"]:
+            pages[x["page"] - 1].append(x)
+        try:
+            return [layout.read(pages, r["path"], {x["page"]: x["title"] for x in r.get("labels") or []})]
+        except Exception as e:
+            return [failed(r["path"], f"{type(e).__name__}: {e}")]
+
+    return by.mapInArrow(lambda it: _rows(it, schema, make), BOOK)
+
+
 def mapped(books: DataFrame, change: Callable[[dict], dict] | None = None, prepare: Callable[[], Callable[[dict], dict]] | None = None) -> DataFrame:
     """BOOK rows through change, or through what prepare makes once for each task; failed ones pass."""
     schema = arrow_schema(BOOK)

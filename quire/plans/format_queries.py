@@ -284,3 +284,146 @@ def reading_marks(spark, sf):
     back = F.transform("chapters", lambda c: F.replace(c["html"], F.lit("<ruby>国</ruby>"), F.lit("x国")))
     own = done.select(F.regexp_extract("src_path", r"(\d+)", 1).cast("long").alias("conv_id"), F.posexplode(back).alias("ord", "html"))
     return own
+
+
+# Packages that others made
+
+
+def package(r: dict) -> dict:
+    """An EPUB 2 with a note, a picture in SVG, a lost one, links, a broken spine item, and an NCX whose parts lead nowhere."""
+    files = {
+        "META-INF/container.xml": '<container><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>', "O/i.png": "png",
+        "META-INF/encryption.xml": '<encryption><CipherReference URI="O/f.otf"/></encryption>' if r["conv_id"] % 2 else "",
+    }
+    items, refs, points = [], [], []
+    for x in r["turns"]:
+        n = x["turn"]
+        files[f"O/t {n}.html"] = (
+            f'<html><head><title>no</title></head><body><h2>{x["role"]} <b>{n}</b></h2><p>{x["p"]}<a id="r" class="s" href="#f" epub:type="noteref">1</a> <a href="t%20{n + 1}.html#q">next</a> <a href="https://a/b">out</a></p>'
+            f'<svg viewBox="0"><image xlink:href="I.png"/></svg><img src="lost.png"/><aside epub:type="Footnote" id="f"><p>note {n}</p></aside></body></html>'
+        )
+        items.append(f'<item id="t{n}" href="t%20{n}.html" media-type="application/xhtml+xml"/>')
+        refs.append(f'<itemref idref="t{n}"/>')
+        points.append(f'<navPoint><navLabel><text>{x["role"]} {n}</text></navLabel><content src="t%20{n}.html"/></navPoint>')
+    files["O/t.ncx"] = f'<ncx><navMap><navPoint><navLabel><text>Part</text></navLabel><content src="gone.html"/>{"".join(points)}</navPoint></navMap></ncx>'
+    files["O/c.opf"] = (
+        f'<package unique-identifier="u"><metadata><dc:title>Book {r["conv_id"]}</dc:title><dc:creator>A</dc:creator><dc:creator>B</dc:creator><dc:language>ja</dc:language><dc:identifier id="u">id{r["conv_id"]}</dc:identifier><meta name="cover" content="im"/></metadata>'
+        f'<manifest>{"".join(items)}<item id="im" href="i.png" media-type="image/png"/><item id="ncx" href="t.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="ncx" page-progression-direction="rtl">{"".join(refs)}<itemref idref="gone"/></spine></package>'
+    )
+    return {"path": f"{r['conv_id']}.epub", "content": samples.zip_file([(k, v.encode()) for k, v in files.items() if v])}
+
+
+@query(f"""SELECT a.conv_id, a.ord, a.role || ' ' || a.turn AS title, 2 AS level,
+'<h2>' || a.role || ' <b>' || a.turn || '</b></h2><p>' || a.p || '<a class="s noteref" id="r" href="#n' || (a.ord + 1) || '">1</a> ' || CASE WHEN b.ord IS NULL THEN 'next' ELSE '<a href="#ch' || (b.ord + 1) || '">next</a>' END
+|| ' <a href="https://a/b">out</a></p><img src="O/i.png" />' AS html, '<p>note ' || a.turn || '</p>' AS note, 'A、B' AS author, 'id' || a.conv_id AS identifier, 'vertical-rl' AS mode, 'res-1' AS cover, a.role || ' ' || a.turn AS label,
+'epub.broken-spine-item,' || CASE WHEN a.conv_id % 2 = 1 THEN 'epub.encrypted,' ELSE '' END || 'epub.missing-image' AS warnings
+FROM {ROWS} a LEFT JOIN {ROWS} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
+def epub_packages_read(spark, sf):
+    """Packages: metadata, spine, notes, pictures in SVG, links between documents, NCX, covers, what is missing."""
+    books = read_back(made(turns(spark, sf), package))
+    codes = F.array_join(F.array_sort(F.transform("warnings", lambda w: w["code"])), ",")
+    at = lambda column, field: F.get(column, F.col("ord"))[field]
+    own = books.select("conv_id", F.posexplode("chapters").alias("ord", "c"), "notes", "nav", "cover", codes.alias("warnings"), "meta")
+    return own.select(
+        "conv_id", "ord", F.col("c.title").alias("title"), F.col("c.level").alias("level"), F.col("c.html").alias("html"), at("notes", "html").alias("note"), F.col("meta.author").alias("author"),
+        F.col("meta.identifier").alias("identifier"), F.col("meta.writing_mode").alias("mode"), "cover", at("nav", "title").alias("label"), "warnings",
+    )
+
+
+def rich_books(spark, sf) -> DataFrame:
+    """BOOK rows with a cover, a picture in each chapter, and a note in the first."""
+    schema = C.arrow_schema(BOOK)
+
+    def make(r: dict) -> list[dict]:
+        from quire.model import chapter, nav_from_levels, new_book
+
+        book = new_book(f"{r['conv_id']}.txt", title=f"Book {r['conv_id']}", language="zh-Hant", identifier=f"urn:x:{r['conv_id']}")
+        for i, x in enumerate(r["turns"]):
+            ref = '<a class="noteref" href="#n1">1</a>' if not i else ""
+            chapter(book, f"{x['role']} {x['turn']}", f'<p>{x["p"]}{ref}<img src="images/p.png" alt="p" /></p>', 1)
+        book["resources"] = [{"id": "a", "href": "images/p.png", "mime": "image/png", "data": PNG}, {"id": "b", "href": "images/c.png", "mime": "image/png", "data": PNG + b"cover"}, {"id": "x", "href": "images/unused.png", "mime": "image/png", "data": b"x"}]
+        book["cover"], book["notes"] = "b", [{"id": "n1", "html": "<p>the note</p>"}, {"id": "n2", "html": "<p>an orphan</p>"}]
+        nav_from_levels(book)
+        return [book]
+
+    return turns(spark, sf).mapInArrow(lambda it: C._rows(it, schema, make), BOOK)
+
+
+@query(f"""SELECT conv_id, count(*) AS chapters, '<p>the note</p>|<p>an orphan</p>' AS notes, 'images/c.png' AS cover, count(*) AS pictures, 1::BIGINT AS refs FROM {ROWS} GROUP BY 1""")
+def notes_and_pictures_kept(spark, sf):
+    """Notes, pictures and the cover through EPUB and back."""
+    books = read_back(C.written(rich_books(spark, sf), C.Options("epub")).select(F.col("name").alias("path"), "content"))
+    count = lambda pattern: F.aggregate("chapters", F.lit(0).cast("long"), lambda n, c: n + F.size(F.regexp_extract_all(c["html"], F.lit(pattern), 0)))
+    cover = F.get(F.filter("resources", lambda x: x["id"] == F.col("cover")), F.lit(0))["href"]
+    return books.select(
+        "conv_id", F.size("chapters").cast("long").alias("chapters"), F.array_join(F.transform("notes", lambda n: F.regexp_replace(n["html"], r"<a [^>]*>.*?</a>|\n", "")), "|").alias("notes"),
+        cover.alias("cover"), count('<img src="images/p.png"').alias("pictures"), count('<a class="noteref"').alias("refs"),
+    )
+
+
+@query(f"""SELECT conv_id, 'Book ' || conv_id AS title, 'zh-Hant' AS language, 'img002' AS cover, 2 AS pictures, list_reduce([2166136261] || list_transform(string_split('urn:x:' || conv_id, ''), lambda c: ord(c)::BIGINT),
+lambda h, c: (xor(h::BIGINT, c::BIGINT) * 16777619) % 4294967296)::BIGINT AS uid, 1028::BIGINT AS locale FROM (SELECT DISTINCT conv_id FROM {ROWS})""")
+def mobi_headers(spark, sf):
+    """What a MOBI's header and records say: identity, locale, language, cover and pictures in use."""
+    files = C.written(rich_books(spark, sf), C.Options("mobi")).select(F.col("name").alias("path"), "content")
+    read = read_back(files).select("conv_id", F.col("meta.title").alias("title"), F.col("meta.language").alias("language"), "cover", F.size("resources").alias("pictures"))
+    u32 = lambda at: F.conv(F.hex(F.expr(f"substring(content, {at}, 4)")), 16, 10).cast("long")
+    heads = files.withColumn("at", F.conv(F.hex(F.expr("substring(content, 79, 4)")), 16, 10).cast("int"))
+    heads = heads.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("long").alias("conv_id"), u32("at + 33").alias("uid"), u32("at + 93").alias("locale"))
+    return read.join(heads, "conv_id")
+
+
+@query(f"""SELECT conv_id, ord, role || ' ' || turn AS title FROM {ROWS}""")
+def azw_of_either_kind(spark, sf):
+    """Files named .azw: KF8 in them, or KF7."""
+    eight = made(turns(spark, sf).where("conv_id % 2 = 0"), kf8)
+    seven = C.written(plain_books(spark, sf).where("cast(regexp_extract(src_path, '([0-9]+)', 1) AS int) % 2 = 1"), C.Options("mobi")).select(F.col("name").alias("path"), "content")
+    files = eight.unionByName(seven).withColumn("path", F.regexp_replace("path", r"\.\w+$", ".azw"))
+    return chapters(read_back(files)).select("conv_id", "ord", "title")
+
+
+@query("""SELECT conv_id, 'BookError: ' || (['the book is encrypted', 'the book is protected', 'Huffman compression isn''t supported'])[conv_id % 3 + 1] AS failure FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def protected_files(spark, sf):
+    """Encrypted packages, protected and strangely compressed Kindle files are refused."""
+
+    def make(r: dict) -> dict:
+        if r["conv_id"] % 3 == 0:
+            files = [("META-INF/container.xml", b'<rootfile full-path="c.opf"/>'), ("META-INF/encryption.xml", b'<CipherReference URI="t.html"/>')]
+            return {"path": f"{r['conv_id']}.epub", "content": samples.zip_file(files)}
+        data = bytearray(kf8(r)["content"])
+        at = int.from_bytes(data[78:82], "big")
+        if r["conv_id"] % 3 == 1:
+            data[at + 12 : at + 14] = b"\0\2"
+        else:
+            data[at : at + 2] = (17480).to_bytes(2, "big")
+        return {"path": f"{r['conv_id']}.azw3", "content": bytes(data)}
+
+    return read_back(made(turns(spark, sf), make)).select("conv_id", "failure")
+
+
+@query(f"""SELECT conv_id, '国' || ord AS title, '<p>国' || p || '<ruby>网<rt>網</rt></ruby></p>' AS html, '国书' AS author, ord FROM {ROWS}""")
+def books_converted(spark, sf):
+    """Variants in titles, people, chapters; readings stay."""
+    from quire.operators.variants import DEMO, converted
+
+    books = plain_books(spark, sf, "zh-Hant").withColumn("meta", F.col("meta").withField("author", F.lit("國書")))
+    fresh = lambda c, i: c.withField("title", F.concat(F.lit("國"), i)).withField("html", F.concat(F.regexp_replace(F.regexp_replace(c["html"], "^<p>", "<p>國"), "</p>$", "<ruby>網<rt>網</rt></ruby></p>")))
+    done = converted(books.withColumn("chapters", F.transform("chapters", fresh)), "t2cn", {"t2cn": DEMO})
+    own = done.withColumn("conv_id", F.regexp_extract("src_path", r"(\d+)", 1).cast("long"))
+    return chapters(own, F.col("meta.author").alias("author")).select("conv_id", "title", "html", "author", "ord")
+
+
+@query(f"""WITH l AS (SELECT *, ord % 10 AS row, ord // 10 AS page FROM {ROWS}), g AS (SELECT *, CASE WHEN row IN (0, 3) THEN 1 ELSE 0 END AS start FROM l),
+n AS (SELECT *, sum(start) OVER (PARTITION BY conv_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS para FROM g), k AS (SELECT conv_id FROM {ROWS} GROUP BY 1 HAVING count(*) > 0),
+x AS (SELECT conv_id, para, min(ord) AS first, '<p>' || string_agg('turn ' || turn || ' of this book', ' ' ORDER BY ord) || '</p>' AS p FROM n GROUP BY 1, 2)
+SELECT conv_id, string_agg(p, chr(10) ORDER BY first) AS html, 'page 1' AS label FROM x GROUP BY 1""")
+def layouts_read(spark, sf):
+    """Runs of text on pages, as a PDF engine gives them: lines from pieces out of order, paragraphs from gaps."""
+    rows = turns(spark, sf).select("conv_id", F.posexplode("turns").alias("ord", "x")).withColumn("row", F.col("ord") % 10)
+    y = F.lit(700.0) - 13.0 * F.col("row") - F.when(F.col("row") >= 3, 15.0).otherwise(0.0)
+    piece = lambda text, x, dy: F.struct(F.col("ord").alias("k"), text.alias("str"), F.lit(x).alias("x"), (y + dy).alias("y"), F.lit(30.0).alias("width"), F.lit(10.0).alias("font"))
+    both = F.explode(F.array(piece(F.lit("of this book"), 90.0, 0.5), piece(F.concat(F.lit("turn "), "x.turn"), 50.0, 0.0)))
+    runs = rows.select(F.concat("conv_id", F.lit(".pdf")).alias("path"), (F.floor(F.col("ord") / 10) + 1).cast("int").alias("page"), both.alias("r")).select("path", "page", "r.str", "r.x", "r.y", "r.width", "r.font")
+    labels = runs.select("path").distinct().select("path", F.lit(1).alias("page"), F.lit("page 1").alias("title"))
+    books = C.read_layouts(runs, labels).withColumn("conv_id", F.regexp_extract("src_path", r"(\d+)", 1).cast("long"))
+    return books.select("conv_id", F.get("chapters", F.lit(0))["html"].alias("html"), F.get("nav", F.lit(0))["title"].alias("label"))

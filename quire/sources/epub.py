@@ -190,7 +190,8 @@ def read(data: bytes, name: str) -> dict:
                 target, _, anchor = a["href"].partition("#")
                 if anchor in numbers and (not target or resolved(where, target) == where):
                     rest = [(k, f"#{numbers[anchor]}" if k == "href" else v) for k, v in attrs if k not in ("class", "epub:type")]
-                    return [("class", f"{a.get('class', '').strip()} noteref".strip()), *rest]
+                    names = [*(n for n in a.get("class", "").split() if n != "noteref"), "noteref"]
+                    return [("class", " ".join(names)), *rest]
                 if target and resolved(where, target) != where:
                     to = chapter_of.get(resolved(where, target))
                     return None if to is None else [(k, f"#{to}" if k == "href" else v) for k, v in attrs]
