@@ -11,8 +11,9 @@
    table of BUCKETS counters; any order would do for right results. n-grams with a counter above HOT are counted
    one by one, and those that are in more than HOT texts aren't searched: their sets of similar size are joined as they are, as
    candidates. So a block holds HOT sets at most, whatever the corpus. The larger the sets, the weaker is the
-   bound, so large sets are split by hash into shares of SHARE to 4 SHARE n-grams, with points and rarest tenths
-   of their own: if two sets link, at least one share of theirs is as similar as the whole.
+   bound, so large sets are split by hash into shares, with points and rarest tenths of their own: if two sets link, at least one
+   share of theirs is as similar as the whole. Shares are so small that unlike ones fall short of the bound by twice what it
+   allows links (`share_size`), at any similarity.
 4. Blocks give candidate families: components under the bound, found from a spanning forest for each block, never from
    all pairs. Families are verified with the whole sets, by the R-tree and a union-find that skips pairs already
    connected. Families of over FAMILY sets are split: every part meets the first part, then only sets outside the
@@ -38,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import runs, salt_of, salts_in, stored, table
+from quire.llm.common import cleanup, mark, runs, salt_of, salts_in, stored, table
 from quire.llm.components import components
 
 N = 3
@@ -47,7 +48,6 @@ BUCKETS = 1 << 20
 SLICES = 32
 GROUPS = 16
 FINE_GROUPS = 64
-SHARE = 128
 HOT = 1000
 FAMILY = 400
 LEAF = 16
@@ -284,11 +284,18 @@ def packed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shift, c.astype(np.uint8)
 
 
+def share_size(percent: int) -> float:
+    """The least n-grams of a share; the most is four times that. Two unlike shares with x n-grams a group are expected to
+    miss 1 / sqrt(pi x) of each other, links at most (1 - J) / (1 + J)."""
+    return max(4.0, GROUPS / (16 * np.pi * ((100 - percent) / (100 + percent)) ** 2)) if percent < 100 else 1e9
+
+
 def shared_out(sizes: np.ndarray, percent: int, other: bool) -> np.ndarray:
     """In how many shares sets of these sizes are split: a power of four. Sets that link may be split differently by
     size alone; so where a smaller or larger set that may link is split otherwise, `other` gives that number too
     (else 0)."""
-    of = lambda x: 1 << 2 * np.maximum(0, np.floor(np.log2(np.maximum(x, 1) / SHARE) / 2)).astype(np.int64)
+    least = share_size(percent)
+    of = lambda x: 1 << 2 * np.maximum(0, np.floor(np.log2(np.maximum(x, 1) / least) / 2)).astype(np.int64)
     own = of(sizes)
     if not other:
         return own
@@ -513,8 +520,10 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = HOT,
     if names.clashes:
         rows = rows.withColumn("set_id", F.when(F.col("set_id").isin(list(names.clashes)), F.col("other")).otherwise(F.col("set_id")))
         sets = stored(gathered(rows), "join-sets")
+    before = mark()
     keys = stored(keyed(own, counters(base), n, percent, hot, names), "join-keys")
     near = stored(candidate_edges(keys, percent, hot), "join-candidates")
+    cleanup(docs.sparkSession, before, but=1)  # the keys have done their work
     families = components(near, "join-families")
     members = sets.join(families, F.col("set_id") == F.col("node")).select("set_id", "doc_id", F.col("root").alias("comp"))
     members = stored(members, "join-family")
@@ -538,3 +547,16 @@ def representatives(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
+
+
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 3 THEN [array_to_string(x, chr(9))] ELSE list_transform(range(1, len(x) - 1), lambda i: x[i] || chr(9) || x[i + 1] || chr(9) || x[i + 2]) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+u AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT x AS doc_id, y AS root FROM u UNION SELECT r.doc_id, u.y FROM r JOIN u ON u.x = r.root)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.root), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+"""
