@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,19 @@ def ranked(df: DataFrame, name: str, group: list[str], order: list[str], buckets
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._own") + F.col("o._before")).cast("long").alias(name))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions within send Python so many rows at once; the session's setting is restored. For steps that are stored at once:
+    a plan that runs later doesn't see it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sliced_batches(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows at most. Spark bounds a batch's bytes (64 MB by default); this bounds what
     is made from one at a time, whatever a session sets."""

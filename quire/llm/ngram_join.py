@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import cleanup, mark, runs, salt_of, salts_in, stored, table
+from quire.llm.common import cleanup, mark, runs, salt_of, salts_in, small_batches, stored, table
 from quire.llm.components import components
 
 N = 3
@@ -52,6 +52,7 @@ HOT = 1000
 FAMILY = 400
 LEAF = 16
 FILTER = 1 << 18
+BATCH_ROWS = 500
 SALTS = 48
 WORDS_KEPT = 200_000
 CHUNK_ROWS = 250
@@ -513,7 +514,9 @@ def gathered(rows: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = HOT, family: int = FAMILY, id_bits: int = ID_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stored(based(own, n, id_bits), "join-base")
+    spark = docs.sparkSession
+    with small_batches(spark, BATCH_ROWS):
+        base = stored(based(own, n, id_bits), "join-base")
     rows = base.where("kind = 0").select("doc_id", "n", "set_id", "other").withColumn("salt", salt_of("doc_id", salts=SALTS))
     sets = stored(gathered(rows), "join-sets")
     names = Names(id_bits, frozenset(r.set_id for r in sets.where("low != high").select("set_id").collect()))  # of 2^64 ids, those of two sets
@@ -521,14 +524,17 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, hot: int = HOT,
         rows = rows.withColumn("set_id", F.when(F.col("set_id").isin(list(names.clashes)), F.col("other")).otherwise(F.col("set_id")))
         sets = stored(gathered(rows), "join-sets")
     before = mark()
-    keys = stored(keyed(own, counters(base), n, percent, hot, names), "join-keys")
+    counts = counters(base)
+    with small_batches(spark, BATCH_ROWS):
+        keys = stored(keyed(own, counts, n, percent, hot, names), "join-keys")
     near = stored(candidate_edges(keys, percent, hot), "join-candidates")
-    cleanup(docs.sparkSession, before, but=1)  # the keys have done their work
+    cleanup(spark, before, but=1)  # the keys have done their work
     families = components(near, "join-families")
     members = sets.join(families, F.col("set_id") == F.col("node")).select("set_id", "doc_id", F.col("root").alias("comp"))
     members = stored(members, "join-family")
-    full = stored(whole_sets(own, stored(parted(members, family), "join-parts"), n, names), "join-whole")
-    found = stored(family_links(full, percent, family), "join-found")
+    with small_batches(spark, BATCH_ROWS):
+        full = stored(whole_sets(own, stored(parted(members, family), "join-parts"), n, names), "join-whole")
+        found = stored(family_links(full, percent, family), "join-found")
     roots = components(found, "join-roots")
     linked = sets.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
