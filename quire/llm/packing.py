@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import byte_bpe
-from quire.llm.common import new_path, ranked, sliced_batches, table
+from quire.llm.common import new_path, ranked, small_batches, table
 
 CAPACITY = 2048
 END = 0
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = byte_bpe.encoder(path, added=True)
         end = np.uint32(END).tobytes()
-        for batch in sliced_batches(batches, BATCH_ROWS):
+        for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = code(text or "") + end
@@ -135,7 +135,8 @@ def placed(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def stored_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     at = new_path(docs.sparkSession, "pieces")
-    pieces(docs, path, capacity).write.option("compression", "zstd").parquet(at)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        pieces(docs, path, capacity).write.option("compression", "zstd").parquet(at)
     return docs.sparkSession.read.schema(PIECES).parquet(at)
 
 
