@@ -146,11 +146,13 @@ class Node:
         self.name, self.attrs, self.children = name, attrs, []
 
     def all(self, *names: str) -> Iterator[Node]:
+        """The outermost elements of these names."""
         for c in self.children:
             if isinstance(c, Node):
                 if c.name in names:
                     yield c
-                yield from c.all(*names)
+                else:
+                    yield from c.all(*names)
 
     def first(self, *names: str) -> Node | None:
         return next(self.all(*names), None)

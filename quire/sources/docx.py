@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from quire.functions.markup import Node, escape_attribute, escape_text, xml
+from quire.functions.markup import Node, escape_attribute, escape_text, plain_text, xml
 from quire.model import BookError, chapter, nav_from_levels, new_book, stem, warn
 from quire.sources.archive import opened
 from quire.sources.markdown import mime_of
@@ -119,7 +119,7 @@ def read(data: bytes, name: str) -> dict:
         if not rank:
             held.append(html)
             continue
-        if title is not None or "".join(held).strip():
+        if title is not None or plain_text("".join(held)):
             chapter(book, title, "\n".join(held), level)
         title, level, held = re.sub(r"<[^>]*>", "", html).strip() or None, max(1, rank), []
         found |= rank > 0

@@ -68,8 +68,9 @@ class Second(html.parser.HTMLParser):
 
 
 def test_sanitiser_on_pages(spark, sf):
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    for r in QUERIES["sanitized"](spark, sf).collect():
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = {r.page_id: r.html for r in table.collect()}
+    for r in table.select("page_id", m.sanitize_column(F.col("html")).alias("html")).collect():
         p = Second()
         p.feed(pages[r.page_id])
         p.close()
@@ -108,3 +109,24 @@ def test_xml():
 def test_rewritten():
     change = lambda tag, a: None if tag == "a" else "" if tag == "img" else a
     assert m.rewritten('<p><a href="x">t</a><img src="y" />u</p>', change) == "<p>tu</p>"
+
+
+def test_outermost_elements():
+    from quire.functions.markup import xml
+
+    root = xml('<a><b id="1"><b id="2"/></b><c><b id="3"/></c></a>')
+    assert [n.get("id") for n in root.all("b")] == ["1", "3"]
+
+
+def test_plain_text_of_columns_is_that_of_the_state_machine(spark, sf):
+    from pyspark.sql import functions as F
+
+    from quire.functions import html as H
+    from quire.functions.markup import character_count, plain_text
+
+    texts = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()] + [
+        "&#20013;&#x6587;&AMP;&lt;b&gt;&amp;lt;&#1114112;&#xD800;&nope;&#99999999999999999999;", "a<!-- open", "<embed src=x>gone</embed>a", "<script>x", "<p>a<br>b<BR/>c</p>\n\n\n\nd", "1 < 2 &#x1F600;", "<style/>kept", "",
+    ]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", H.plain_text(F.col("x")).alias("p"), H.character_count(F.col("x")).alias("n")).collect()
+    for r in got:
+        assert (r.p, r.n) == (plain_text(texts[r.i]), character_count(texts[r.i])), texts[r.i][:80]
