@@ -19,6 +19,7 @@ postings, which can only add candidates; an empty table gives no rows; other col
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,10 +59,21 @@ MOST_BITS = 1 << 28
 BITMAP_BITS = 1 << 15  # fixed value: of one of Spark's bitmaps
 
 
-def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """gram, doc_id: the inverted index, of the trigrams that the rules ask for. Each trigram is looked for once in the lower-cased text."""
+def postings(docs: DataFrame, queries: list, grams: list[str]) -> DataFrame:
+    """gram, doc_id: the inverted index, of the trigrams that the rules ask for. A conjunction's rarest trigram is looked for in
+    every lower-cased text, its others only where that one was found: without it their postings decide nothing."""
     low = docs.where("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("low"))
-    held = F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)])
+    leads: dict[str, set[str] | None] = {}
+    for q in queries:
+        for conjunction in trigrams.conjunctions(q):
+            lead = trigrams.rarest(conjunction)
+            for g in conjunction:
+                leads.setdefault(g, set()).add(lead)
+    first = [g for g in grams if g in leads[g]]
+    low = low.select("*", *[F.contains("low", F.lit(g)).alias(f"g{grams.index(g)}") for g in first])
+    found = lambda g: F.col(f"g{grams.index(g)}")
+    later = lambda g: reduce(Column.__or__, map(found, sorted(leads[g]))) & F.contains("low", F.lit(g))
+    held = F.array(*[F.when(found(g) if g in first else later(g), F.lit(i)) for i, g in enumerate(grams)])
     return low.select("doc_id", F.explode(F.array_compact(held)).alias("gram"))
 
 
@@ -84,7 +96,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     grams = sorted(set().union(*map(trigrams.trigrams, asked.values())))
     words = range((len(grams) + 61) // 62)
     one = lambda w: F.when((F.col("gram") >= 62 * w) & (F.col("gram") < 62 * w + 62), F.expr(f"shiftleft(1L, gram - {62 * w})")).otherwise(F.lit(0).cast("long"))
-    sets = postings(docs, grams).groupBy("doc_id").agg(*[F.bit_or(one(w)).alias(f"w{w}") for w in words])
+    sets = postings(docs, list(asked.values()), grams).groupBy("doc_id").agg(*[F.bit_or(one(w)).alias(f"w{w}") for w in words])
     bits = [F.col(f"w{w}") for w in words]
     found = sets.select(F.col("doc_id").alias("_id"), *[holds(q, grams, bits).alias(f"may_{k}") for k, q in asked.items()])
     any_rule = None

@@ -234,6 +234,30 @@ def trigrams(q) -> set[str]:
     return set() if q is True else {q} if isinstance(q, str) else set().union(*map(trigrams, q[1]))
 
 
+def conjunctions(q) -> list[tuple[str, ...]]:
+    """Sets of trigrams of which a text that the query holds for has all of one; a query of another form than alternatives of
+    conjunctions counts as conjunctions of one trigram each."""
+    parts = q[1] if isinstance(q, tuple) and q[0] == "or" else [q]
+    out = []
+    for p in parts:
+        if isinstance(p, str):
+            out.append((p,))
+        elif p[0] == "and" and all(isinstance(x, str) for x in p[1]):
+            out.append(tuple(p[1]))
+        else:
+            out += [(g,) for g in sorted(trigrams(p))]
+    return out
+
+
+#: Letters from the most frequent one of English texts on; any order gives right results.
+FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def rarest(conjunction: tuple[str, ...]) -> str:
+    """The trigram of the rarest letters."""
+    return max(conjunction, key=lambda g: (sum(FREQUENT.index(x) if x in FREQUENT else 0 if x == " " else 26 for x in g), g))
+
+
 def holds(q, have: set[str]) -> bool:
     if q is True:
         return True

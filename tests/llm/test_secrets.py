@@ -87,6 +87,16 @@ def test_texts_that_move_do_not_change_results(spark):
         assert sorted(((r.doc_id, m_line(r._spans)) for r in out.collect()), key=repr) == sorted(((w[0], w[-1]) for w in want), key=repr)
 
 
+def test_postings_decide_as_all_trigrams_do(spark):
+    data = [(i, t or "") for i, t in enumerate(TEXTS)] + [(100 + i, x) for i, x in enumerate(("tok ken", "tokens", "passw", "password", "ssw swo wor ord pas ass", "api_key", "pi_ key", "ghp_", "hp_", "aki kia", "akia"))]
+    queries = {r.kind: q for r in m.RULES if (q := trigrams.query(r.regex)) is not True}
+    got = {r["_id"]: {k for k in queries if r[f"may_{k}"]} for r in m.candidates(odd(spark, data).select("doc_id", "text"), m.RULES).collect()}
+    for i, t in data:
+        low = t.lower()
+        have = {low[k : k + 3] for k in range(len(low) - 2)}
+        assert got.get(i, set()) == {k for k, q in queries.items() if trigrams.holds(q, have)}
+
+
 def m_line(found):
     return ",".join(f"{z.kind}:{z.start}:{z.end}" for z in found)
 
