@@ -427,3 +427,80 @@ def layouts_read(spark, sf):
     labels = runs.select("path").distinct().select("path", F.lit(1).alias("page"), F.lit("page 1").alias("title"))
     books = C.read_layouts(runs, labels).withColumn("conv_id", F.regexp_extract("src_path", r"(\d+)", 1).cast("long"))
     return books.select("conv_id", F.get("chapters", F.lit(0))["html"].alias("html"), F.get("nav", F.lit(0))["title"].alias("label"))
+
+
+# Details of writers and readers
+
+MOBI_TEXT = f"""(SELECT conv_id, '<html><head><guide></guide></head><body>' || string_agg('<a id="c' || (ord + 1) || '"></a><h' || CASE WHEN turn % 3 = 0 THEN 1 ELSE 2 END || '>' || role || ' ' || turn || '</h' || CASE WHEN turn % 3 = 0 THEN 1 ELSE 2 END
+|| '><p>' || p || '</p>', '<mbp:pagebreak/>' ORDER BY turn) || '</body></html>' AS x FROM {ROWS} GROUP BY 1)"""
+
+
+@query(f"SELECT conv_id, strlen(x)::BIGINT AS bytes, ceil(strlen(x) / 4096)::BIGINT AS records, 4096::BIGINT AS size, 0::BIGINT AS seconds FROM {MOBI_TEXT}")
+def mobi_records(spark, sf):
+    """The text of a MOBI in records of 4 096 bytes, and what its header says of them."""
+    files = C.written(plain_books(spark, sf), C.Options("mobi")).select("name", "content")
+    number = lambda at, n: F.conv(F.hex(F.expr(f"substring(content, {at}, {n})")), 16, 10).cast("long")
+    heads = files.withColumn("at", number(79, 4).cast("int"))
+    return heads.select(
+        F.regexp_extract("name", r"(\d+)\.", 1).cast("long").alias("conv_id"), number("at + 5", 4).alias("bytes"), number("at + 9", 2).alias("records"), number("at + 11", 2).alias("size"),
+        (number(37, 4) - 2082844800).alias("seconds"),
+    )
+
+
+@query(f"""SELECT conv_id, count(*) * 1 AS pictures, 'data:image/png;base64,' || base64('\\x89PNG\\x0D\\x0A\\x1A\\x0Aimage'::BLOB) AS uri, 2::BIGINT AS notes FROM {ROWS} GROUP BY 1""")
+def printable_pictures(spark, sf):
+    """Pictures of printable files are in them; notes stand at their end."""
+    out = C.written(rich_books(spark, sf), C.Options("html")).withColumn("text", F.decode("content", "UTF-8"))
+    uris = F.regexp_extract_all("text", F.lit('<img src="([^"]*)"'), 1)
+    return out.select(
+        F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("conv_id"), F.size(uris).cast("long").alias("pictures"), F.array_join(F.array_distinct(uris), "|").alias("uri"),
+        F.size(F.regexp_extract_all("text", F.lit("<aside id="), 0)).cast("long").alias("notes"),
+    )
+
+
+@query(f"""SELECT conv_id, left(t, 60) || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.xhtml' AS entry FROM (SELECT conv_id, t, row_number() OVER (PARTITION BY conv_id, lower(t) ORDER BY turn) AS k
+FROM (SELECT conv_id, turn, role || '-' || repeat('x', 70) AS t FROM {ROWS}))""")
+def epub_file_names(spark, sf):
+    """Long and equal titles give short and distinct file names."""
+    books = plain_books(spark, sf)
+    long = F.transform("chapters", lambda c: c.withField("title", F.concat(F.regexp_extract(c["title"], r"^(\w+)", 1), F.lit(": "), F.repeat(F.lit("x"), 70))))
+    found = zip_names(C.written(books.withColumn("chapters", long), C.Options("epub")), ".xhtml").where("entry <> 'nav.xhtml'")
+    return found.select(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("conv_id"), "entry")
+
+
+def opened_docx(r: dict) -> dict:
+    """A document whose opening is empty, holds a mark only, or is text."""
+    import io
+    import zipfile as z
+
+    opening = ("", "<w:p><w:r><w:br/></w:r></w:p>", "<w:p><w:r><w:t>opening</w:t></w:r></w:p>")[r["conv_id"] % 3]
+    whole = docx(r)["content"]
+    out = io.BytesIO()
+    with z.ZipFile(io.BytesIO(whole)) as a, z.ZipFile(out, "w") as b:
+        for n in a.namelist():
+            b.writestr(n, a.read(n).replace(b"<w:body>", b"<w:body>" + opening.encode()))
+    return {"path": f"{r['conv_id']}.docx", "content": out.getvalue()}
+
+
+@query(f"SELECT conv_id, count(*) + CASE WHEN conv_id % 3 = 2 THEN 1 ELSE 0 END AS chapters, CASE WHEN conv_id % 3 = 2 THEN NULL ELSE any_value(role || ' ' || turn) FILTER (ord = 0) END AS first FROM {ROWS} GROUP BY conv_id")
+def word_openings(spark, sf):
+    """What stands before the first heading is a chapter only if it has text."""
+    books = read_back(made(turns(spark, sf), opened_docx))
+    return books.select("conv_id", F.size("chapters").cast("long").alias("chapters"), F.get("chapters", F.lit(0))["title"].alias("first"))
+
+
+@query("""SELECT conv_id, ext, CASE WHEN turns > 0 THEN 1 ELSE 0 END::BIGINT AS books FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1), (VALUES ('txt'), ('md'), ('docx'), ('epub'), ('azw3'), ('zip')) v(ext)""")
+def queue_of_files(spark, sf):
+    """Files of all kinds in one job, each by its own reader."""
+    rows = turns(spark, sf)
+    makers = {"txt": text_file, "md": markdown_file, "docx": docx, "epub": package, "azw3": kf8}
+    kinds = F.explode(F.array(*[F.lit(k) for k in [*makers, "zip"]]))
+
+    def make(r: dict) -> dict:
+        if r["ext"] != "zip":
+            return makers[r["ext"]](r)
+        return {"path": f"{r['conv_id']}.zip", "content": samples.zip_file([("one.txt", text_file(r)["content"])])}
+
+    books = C.parsed_files(made(rows.withColumn("ext", kinds), make))
+    ext = F.regexp_extract("src_path", r"^\d+\.(\w+)", 1)
+    return books.where("failure IS NULL").groupBy(F.regexp_extract("src_path", r"^(\d+)", 1).cast("long").alias("conv_id"), ext.alias("ext")).agg(F.count("*").alias("books"))
