@@ -49,7 +49,7 @@ SLICES = 32
 GROUPS = 16
 FINE_GROUPS = 64
 HOT = 1000
-FAMILY = 400
+FAMILY = 128
 LEAF = 16
 FILTER = 1 << 18
 BATCH_ROWS = 500
