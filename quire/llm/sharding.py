@@ -11,8 +11,8 @@ cells' starts, down to single cells. Rounds end when no unit asks any more.
 Rows of texts that occur once have no edge to cut; they fill every shard to its exact count at the end,
 together with cells that no shard has room for. The law is therefore `rows`: counts are at most one apart, always.
 
-So a text that fits a shard is cut only once no shard has room for it. Each round places a unit for each shard that is
-asked, and a shard that turns a unit away has no room for its size any more, so rounds end.
+So a text that fits a shard is cut only once no shard has room for it. A round in which a shard turns a unit away places one before
+it there, and that shard has no room for its size any more, so rounds end.
 
 What reaches the driver: the load of each shard by powers of two of units' sizes, in each round. What is broadcast: ranks' offsets, if small.
 
