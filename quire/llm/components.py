@@ -27,15 +27,18 @@ def looked_up(rows: DataFrame, key: str, table: DataFrame, heavy: DataFrame, nam
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root (the smallest node reached) of all nodes of edges (u, v).
 
-    Each round hooks every node to its smallest neighbour, if smaller than itself, and replaces edges by those
-    between the hooks; their number at least halves in expectation. Minima are combined on the map side, and the few nodes that
-    have a large part of all edges, or are the root of a large part of all nodes, are looked up in a broadcast table, so that
+    Each round hooks every node to the first of its neighbours in a random order, if before itself, and replaces edges by those
+    between the hooks; of a path about half the nodes stay, so rounds grow with the logarithm, however nodes are numbered. Minima
+    are combined on the map side, and the few nodes that have a large part of all edges, or are the root of a large part of all nodes, are looked up in a broadcast table, so that
     a node of very many edges burdens no task. Tables of a round are written to the shared folder."""
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    roots = None
+    roots, round_ = None, 0
     while True:
+        order = lambda c: F.xxhash64(c, F.lit(round_))  # noqa: B023, E731
+        round_ += 1
         both = e.where("u != v").unionByName(e.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hooks = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("to"), "degree")
+        hooks = both.groupBy("u").agg(F.min_by("v", order("v")).alias("m"), F.count("*").alias("degree"))
+        hooks = hooks.select("u", F.when(order("m") < order("u"), F.col("m")).otherwise(F.col("u")).alias("to"), "degree")
         hooks = stored(hooks, f"{name}-hooks")
         ends = hooks.agg(F.sum("degree").alias("n")).first().n or 0
         if roots is None:
@@ -51,8 +54,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             found = looked_up(roots, "root", hooks, heavy, "_to", "to")
             roots = stored(found.select("node", F.coalesce("_to", "root").alias("root")), f"{name}-roots")
         if not ends:
-            return roots
+            break
         heavy = hooks.where(F.col("degree") > max(LEAST, ends // HEAVY))
         e = looked_up(e.where("u != v"), "u", hooks, heavy, "a", "to")
         e = looked_up(e, "v", hooks, heavy, "b", "to").where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         e = stored(e.distinct(), f"{name}-edges")
+    low = stored(roots.groupBy("root").agg(F.min("node").alias("low"), F.count("*").alias("n")).withColumnRenamed("root", "u"), f"{name}-low")
+    heavy = low.where(F.col("n") > max(LEAST, roots.count() // HEAVY))
+    return looked_up(roots, "root", low, heavy, "smallest", "low").select("node", F.col("smallest").alias("root"))
