@@ -160,4 +160,5 @@ def output_name(path: Column, tag: Column, fmt: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    return F.when(size >= 1 << 20, F.format_string("%.1f MB", size / (1 << 20))).otherwise(F.format_string("%d KB", F.greatest(F.lit(1), F.round(size / 1024)).cast("int")))
+    """Kilobytes, or megabytes with one decimal; of two as near (1.25 MB), the even one."""
+    return F.when(size >= 1 << 20, F.format_string("%.1f MB", F.bround(size / (1 << 20), 1))).otherwise(F.format_string("%d KB", F.greatest(F.lit(1), F.round(size / 1024)).cast("int")))

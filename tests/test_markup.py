@@ -130,3 +130,17 @@ def test_plain_text_of_columns_is_that_of_the_state_machine(spark, sf):
     got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", H.plain_text(F.col("x")).alias("p"), H.character_count(F.col("x")).alias("n")).collect()
     for r in got:
         assert (r.p, r.n) == (plain_text(texts[r.i]), character_count(texts[r.i])), texts[r.i][:80]
+
+
+def test_size_labels_between_two_decimals_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from quire.plans.queries import SQL
+
+    con = duckdb.connect()
+    keys = (512, 1471246, 1489008, 2125452, 3737808, 8528760)  # 1.75 MB and 4.25 MB
+    con.execute(f"CREATE VIEW orders AS SELECT unnest({list(keys)})::BIGINT AS o_orderkey")
+    con.execute(f"COPY (FROM orders) TO '{tmp_path}/orders.parquet'")
+    want = con.execute(f"SELECT o_orderkey, size, label FROM ({SQL['size_labels']}) ORDER BY 1").fetchall()
+    got = QUERIES["size_labels"](spark, str(tmp_path)).orderBy("o_orderkey").collect()
+    assert [(r.o_orderkey, r.size, r.label) for r in got] == want and want[1][1] == 4456448
