@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from quire.llm import ngram_join as m
+from quire.llm.common import mark
 from quire.llm.components import components
 from tests.llm.util import duck, odd, rows
 
@@ -177,3 +178,29 @@ def test_components_of_heavy_nodes(spark):
     edges = [(0, i) for i in range(1, 900)] + [(5000 + i, 4000) for i in range(700)] + [(899, 5000)] + [(9000 + i, 9001 + i) for i in range(300)]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert out == {i: 0 for i in [*range(900), 4000, *range(5000, 5700)]} | {9000 + i: 9000 for i in range(301)}
+
+
+@pytest.mark.parametrize("few", [0, 1, 40, 500])
+def test_components_in_rounds_and_at_once(spark, few):
+    random.seed(few)
+    edges = [(random.randrange(900), random.randrange(900)) for _ in range(400)] + [(5000 + i, 4000) for i in range(300)] + [(5, 5), (7777, 7777)]
+    edges += [(8000 + i, 8001 + i) for i in range(200)] + edges[:50]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        low, high = sorted((find(u), find(v)))
+        root[high] = low
+    frame = spark.createDataFrame(edges, "u long, v long")
+    assert {r.node: r.root for r in components(frame, few=few).collect()} == {x: find(x) for x in list(root)}
+    assert components(frame.where("u < 0"), few=few).count() == 0
+
+
+def test_few_edges_take_no_rounds(spark):
+    before = mark()
+    out = components(spark.createDataFrame([(i, i + 1) for i in range(3000)], "u long, v long"))
+    assert mark() - before == 1 and {r.root for r in out.collect()} == {0}
